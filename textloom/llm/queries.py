@@ -9,6 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.session import table
 
 
+def _p1_values(spark: SparkSession, folder: str) -> DataFrame:
+    from textloom.llm.encoding import fields
+
+    return fields({(t, f): table(spark, folder, t) for t, f in (("create_log", "input"), ("verb_forms", "word"), ("lexical_coverage_report", "word"))})
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values with a character from a wrong decoding or a lost letter."""
+    from textloom.llm import encoding
+
+    values = _p1_values(spark, folder)
+    return encoding.garbled(values, encoding.learned(values)).select("table_name", "field_name", "row_id")
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled values with their text restored."""
+    from textloom.llm import encoding
+
+    return encoding.restored(_p1_values(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that aren't in the consistent form, without those that a wrong decoding garbled."""
+    from textloom.llm import canonical, encoding
+
+    known = {(t, f): table(spark, folder, t) for t, f in (("create_log", "input"), ("verb_forms", "word"), ("unified_match", "group0"))}
+    moved = canonical.changed(encoding.fields(known)).drop("form")
+    mapping = encoding.learned(_p1_values(spark, folder))
+    return encoding.not_garbled(moved, mapping, {"unified_match"}).select("table_name", "field_name", "row_id")
+
+
+def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every matched word and quote with its text in the consistent form."""
+    from textloom.llm.canonical import canonical
+
+    return canonical(table(spark, folder, "unified_match").select("row_id", "group0", "inner_text"), "group0", "inner_text")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     from textloom.llm.tokens import token_ids
@@ -38,6 +76,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
 
 ORACLE: dict[str, str] = {}
