@@ -30,6 +30,25 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored(_p1_values(spark, folder))
 
 
+def _p3_judged(spark: SparkSession, folder: str) -> DataFrame:
+    from textloom.llm import truncation
+
+    logs = table(spark, folder, "create_log")
+    return truncation.judged(truncation.values(logs, table(spark, folder, "update_choice")), truncation.corpus(logs))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that were cut within a word or sentence."""
+    return _p3_judged(spark, folder).where("is_cut").select("table_name", "field_name", "row_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of cut values for each client and field."""
+    from textloom.llm.truncation import rates
+
+    return rates(_p3_judged(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that aren't in the consistent form, without those that a wrong decoding garbled."""
     from textloom.llm import canonical, encoding
@@ -76,6 +95,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rates, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
 
 ORACLE: dict[str, str] = {}
