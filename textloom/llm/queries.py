@@ -30,6 +30,28 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored(_p1_values(spark, folder))
 
 
+def _p2_values(spark: SparkSession, folder: str) -> DataFrame:
+    from textloom.llm.encoding import fields
+
+    logs = table(spark, folder, "create_log")
+    return fields({("create_log", "input"): logs, ("create_log", "final_output"): logs, ("update_choice", "final_output"): table(spark, folder, "update_choice")})
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that hold an item of personal data, by kind."""
+    from textloom.llm.personal import items
+
+    return items(_p2_values(spark, folder), table(spark, folder, "name_list")).select("table_name", "field_name", "row_id", "kind").distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Those values with each item replaced by a placeholder of its type."""
+    from textloom.llm import personal
+
+    values = _p2_values(spark, folder)
+    return personal.redacted(values, personal.items(values, table(spark, folder, "name_list")))
+
+
 def _p3_judged(spark: SparkSession, folder: str) -> DataFrame:
     from textloom.llm import truncation
 
@@ -95,6 +117,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_rates, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p3_found, p3_rates, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
 
 ORACLE: dict[str, str] = {}
