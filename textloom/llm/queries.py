@@ -71,6 +71,39 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(_p3_judged(spark, folder))
 
 
+def _p5_judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from pyspark.sql import functions as F
+
+    from textloom.llm.language import fit, languages_of
+
+    logs, docs, spans = (table(spark, folder, n) for n in ("create_log", "documents", "unified_match"))
+    speech = fit(logs, "row_id", "input", "input_lang", ("mt", "en", "it"))
+    patents = fit(docs, "doc_id", "text", "lang", ("en", "de", "fr"), sample_rows=150)
+    logs = logs.select(F.lit("create_log").alias("table_name"), "row_id", F.col("input_lang").alias("label"), F.col("input").alias("text"))
+    docs = docs.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), "text")
+    accepted = F.col("is_accepted_english_quote")
+    quotes = spans.where("is_quote").select(F.lit("unified_match").alias("table_name"), "row_id", F.when(accepted, "en").when(~accepted, "not en").alias("label"), F.col("inner_text").alias("text"))
+    return languages_of(logs, speech), languages_of(docs, patents), languages_of(quotes, speech)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the texts whose label is missing or wrong, and of mixed texts."""
+    from pyspark.sql import functions as F
+
+    from textloom.llm.language import mislabelled
+
+    logs, docs, quotes = _p5_judged(spark, folder)
+    wrong = F.col("label").isNull() | ((F.col("label") == "en") != (F.col("lang") == "en"))
+    quotes = quotes.where(F.col("lang").isNotNull() & wrong).select("table_name", "row_id", "lang")
+    return mislabelled(logs).unionByName(mislabelled(docs)).unionByName(quotes)
+
+
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every text, and the segments of mixed ones."""
+    logs, docs, quotes = _p5_judged(spark, folder)
+    return logs.unionByName(docs).unionByName(quotes)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that aren't in the consistent form, without those that a wrong decoding garbled."""
     from textloom.llm import canonical, encoding
@@ -117,6 +150,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p3_found, p3_rates, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
 
 ORACLE: dict[str, str] = {}
