@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from textloom.plans import corpus, logs, words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = words.QUERIES | corpus.QUERIES | logs.QUERIES
+ORACLE: dict[str, str] = words.ORACLE | corpus.ORACLE | logs.ORACLE
 FLAGSHIP = "agg1_bigrams"
