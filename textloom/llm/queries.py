@@ -52,23 +52,24 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(values, personal.items(values, table(spark, folder, "name_list")))
 
 
-def _p3_judged(spark: SparkSession, folder: str) -> DataFrame:
+def _p3_judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     from textloom.llm import truncation
 
     logs = table(spark, folder, "create_log")
-    return truncation.judged(truncation.values(logs, table(spark, folder, "update_choice")), truncation.corpus(logs))
+    values = truncation.values(logs, table(spark, folder, "update_choice"))
+    return values, truncation.judged(values, truncation.corpus(logs))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that were cut within a word or sentence."""
-    return _p3_judged(spark, folder).where("is_cut").select("table_name", "field_name", "row_id")
+    return _p3_judged(spark, folder)[1].where("is_cut").select("table_name", "field_name", "row_id")
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     """The share of cut values for each client and field."""
     from textloom.llm.truncation import rates
 
-    return rates(_p3_judged(spark, folder))
+    return rates(*_p3_judged(spark, folder))
 
 
 def _p5_judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
