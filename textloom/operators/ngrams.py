@@ -97,7 +97,7 @@ def score(candidates: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame |
     """
     top = uni.agg(F.max("log_freq")).first()[0] or 1.0
     low = lambda c: F.lower(F.btrim(F.col(c)))
-    part = lambda c, w: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.lit(top))), F.lit(0.0)) * F.lit(most * w)
+    part = lambda c, w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)) / F.lit(top))) * F.lit(most * w)
     rows = candidates.withColumns({"_w": low("word"), "_p": low("prev"), "_n": low("next"), "_pp": low("prev_prev")})
     rows = rows.join(uni.select(F.col("w1").alias("_w"), F.col("log_freq").alias("_u")), "_w", "left")
     rows = rows.join(bi.select(F.col("w1").alias("_p"), F.col("w2").alias("_w"), F.col("log_freq").alias("_b")), ["_p", "_w"], "left")

@@ -95,22 +95,22 @@ R.add(
     "join3_first_match",
     lambda s, d: orthography.first_match(orthography.variant_rows(missing(s, d), "b_p"), forms(s, d)),
     f"""with v as ({orthography.variant_sql('b_p', _missing)}), h as (select v.* from v join {_forms} f on v.variant = f.word),
-    k as (select word, variant, list_position(list_transform(range(1, length(word) + 1), lambda i: word[i] <> variant[i]), true) as at from h)
-    select word, arg_min(variant, at) as variant from k group by word""",
+    k as (select word, variant, list_position(list_transform(range(1, length(word) + 1), lambda i: word[i] <> variant[i]), true) as pos from h)
+    select word, arg_min(variant, pos) as variant from k group by word""",
 )
 R.add(
     "join2_records",
     lambda s, d: missing(s, d).join(table(s, d, "verb_forms").where("word is not null").withColumn("word", F.lower(F.btrim("word"))).groupBy("word").agg(F.count("*").alias("n_records")), "word"),
     f"select m.word, count(*) as n_records from {_missing} m join verb_forms v on lower(trim(v.word)) = m.word group by 1",
 )
-_ascii = "translate({}, 'ħġċżàèìòùé', '1234567890')"
+_fit = "length(word) <= 32 and regexp_matches(word, '\\p{L}') and not regexp_matches(word, '[-'' ]')"
+_less = "list_contains(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {1})"
 R.add(
     "join7_near_words",
     lambda s, d: similarity.near(missing(s, d), forms(s, d), 1),
-    f"""with m as (select word, {_ascii.format('word')} as a from {_missing} where length(word) <= 32 and regexp_matches(word, '\\p{{L}}') and not regexp_matches(word, '[-'' ]')),
-    f as (select word, {_ascii.format('word')} as a from {_forms} where length(word) <= 32 and regexp_matches(word, '\\p{{L}}') and not regexp_matches(word, '[-'' ]'))
-    select m.word as query, f.word, case when m.word = f.word then 0 else 1 end::int as distance from m join f on abs(length(m.word) - length(f.word)) <= 1 and (m.word = f.word or levenshtein(m.a, f.a) <= 1)
-    where strlen(m.a) = length(m.word) and strlen(f.a) = length(f.word) or m.word = f.word""",
+    f"""with m as (select word as a from {_missing} where {_fit}), f as (select word as b from {_forms} where {_fit})
+    select a as query, b as word, case when a = b then 0 else 1 end::int as distance from m join f on abs(length(a) - length(b)) <= 1 and case when length(a) = length(b)
+      then len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) <= 1 when length(a) > length(b) then {_less.format('a', 'b')} else {_less.format('b', 'a')} end""",
 )
 R.add("join8_near_anchors", lambda s, d: similarity.near_anchors(missing(s, d), forms(s, d)))
 R.add("mor1_parses", lambda s, d: suffixes.parses(missing(s, d)).select("word", "stem", "ending", "label", "priority"))
