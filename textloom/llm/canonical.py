@@ -70,7 +70,7 @@ def _one_script_joined(match: re.Match) -> str:
     return _word.sub(lambda m: m.group().translate(_looks) if len(m.group()) > 1 and all(c in LOOKALIKE for c in m.group()) else m.group(), word)
 
 
-def _segment_form(segment: str) -> str:
+def _pass(segment: str) -> str:
     s = _invisible.sub("", segment)
     s = _spaces.sub(" ", s)
     s = _wide.sub(lambda m: unicodedata.normalize("NFKC", m.group()), s)
@@ -80,6 +80,13 @@ def _segment_form(segment: str) -> str:
     return _joined.sub(_one_script_joined, _word.sub(_one_script, s))
 
 
+def _segment_form(segment: str) -> str:
+    """Passes until nothing changes: a letter of one script may compose with a mark that the other's couldn't."""
+    while (s := _pass(segment)) != segment:
+        segment = s
+    return s
+
+
 def canonical_text(text: str) -> str:
     """The consistent form of a text; stable text is returned as it is."""
     if not _unstable.search(text):
