@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 VOWELS = "aeiouàèìòù"
 GRAVE = {"a": "à", "e": "è", "i": "ì", "o": "ò", "u": "ù"}
 APOSTROPHES = "’ʼ‘"
-_COMPOSED = {"ċ": "ċ", "ġ": "ġ", "ż": "ż", "Ċ": "Ċ", "Ġ": "Ġ", "Ż": "Ż"} | {k + "̀": v for k, v in GRAVE.items()}
+_MARKS = {"̇": ("cgzCGZ", "ċġżĊĠŻ"), "̀": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"), "́": ("eE", "éÉ")}
+_COMPOSED = {letter + mark: whole for mark, (letters, wholes) in _MARKS.items() for letter, whole in zip(letters, wholes)}
 
 
 def composed(text: Column) -> Column:
@@ -17,7 +18,7 @@ def composed(text: Column) -> Column:
     out = text
     for pair, letter in _COMPOSED.items():
         out = F.replace(out, F.lit(pair), F.lit(letter))
-    return F.when(text.rlike("[̀̇]"), out).otherwise(text)
+    return F.when(text.rlike(r"[\x{300}\x{301}\x{307}]"), out).otherwise(text)
 
 
 def exact_key(text: Column) -> Column:

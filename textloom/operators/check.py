@@ -7,15 +7,14 @@ to its places by an equi-join.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import key
 from textloom.operators.evidence import pool, with_corpus
-from textloom.operators.orthography import EDITS, ENDINGS, gated, variant_rows
+from textloom.operators.orthography import EDITS, ENDINGS, variants
 from textloom.operators.similarity import near
+from textloom.session import cut
 
 #: Generators whose hits count more than those of plain edit distance.
 STRONG = ("shortcut", "gh_left", "gh_right", "g_to_gh", "insert_gh", "insert_h", "gh_h_hbar")
@@ -26,13 +25,19 @@ def candidates(words: DataFrame, lexicon: DataFrame, distance: int = 1) -> DataF
     typed = words.select(key(F.col("word")).alias("word")).where("word <> ''").distinct()
     known = lexicon.select(key(F.col("word")).alias("word")).distinct()
     missing = typed.join(known, "word", "left_anti")
-    parts = []
-    for number, name in enumerate([*EDITS, *ENDINGS]):
-        hits = gated(variant_rows(missing, name), lexicon)
-        parts.append(hits.select(F.col("word").alias("typed"), F.col("variant").alias("word"), F.lit("orthography").alias("source"), F.lit(name).alias("candidate_type"), F.lit("high" if name in STRONG else "medium").alias("level"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("reason"), (F.lit(1000 * number) + F.col("ord")).alias("ord")))
+    # All generators in one pass over the words, and one join with the lexicon.
+    def tagged(number: int, name: str) -> Column:
+        return F.transform(variants(F.col("word"), name), lambda v, i: F.struct(F.lit(name).alias("type"), (F.lit(1000 * number) + i).alias("ord"), v.alias("variant")))
+
+    made = [tagged(number, name) for number, name in enumerate([*EDITS, *ENDINGS])]
+    rows = missing.select("word", F.explode(F.concat(*made)).alias("x")).select("word", "x.*")
+    hits = rows.join(known.withColumnRenamed("word", "variant"), "variant", "left_semi")
+    level = F.when(F.col("type").isin(*STRONG), "high").otherwise("medium")
+    none = F.lit(None).cast("double").alias("confidence")
+    spelled = hits.select(F.col("word").alias("typed"), F.col("variant").alias("word"), F.lit("orthography").alias("source"), F.col("type").alias("candidate_type"), level.alias("level"), none, F.lit("").alias("reason"), F.col("ord").cast("bigint").alias("ord"))
     close = near(missing, known, distance)
-    parts.append(close.select(F.col("query").alias("typed"), "word", F.lit("edit").alias("source"), F.lit("near").alias("candidate_type"), F.lit("low").alias("level"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("reason"), (F.lit(1_000_000) + F.col("distance")).alias("ord")))
-    return reduce(DataFrame.unionByName, parts)
+    edited = close.select(F.col("query").alias("typed"), "word", F.lit("edit").alias("source"), F.lit("near").alias("candidate_type"), F.lit("low").alias("level"), none, F.lit("").alias("reason"), (F.lit(1_000_000) + F.col("distance")).cast("bigint").alias("ord"))
+    return spelled.unionByName(edited)
 
 
 def ranked(words: DataFrame, lexicon: DataFrame, unigrams: DataFrame | None = None, distance: int = 1, most: float = 0.25) -> DataFrame:
@@ -64,7 +69,9 @@ def check(docs: DataFrame, lexicon: DataFrame, id_column: str, text_column: str,
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     split = rows.select("id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}'’-]+"), F.lit(0)).alias("words"))
     tokens = split.select("id", F.posexplode("words").alias("pos", "word")).withColumn("norm", key(F.col("word")))
-    known = lexicon.select(key(F.col("word")).alias("norm")).distinct().withColumn("known", F.lit(True))
+    lexicon = cut(lexicon.select(key(F.col("word")).alias("word")).distinct())
+    unigrams = None if unigrams is None else cut(unigrams)
+    known = lexicon.select(F.col("word").alias("norm"), F.lit(True).alias("known"))
     best = ranked(tokens.select(F.col("norm").alias("word")), lexicon, unigrams).where((F.col("rank") == 1) & (F.col("confidence") >= least)).select(F.col("typed").alias("norm"), F.col("word").alias("best"))
     judged = tokens.join(known, "norm", "left").join(best, "norm", "left")
     capital = F.substring("word", 1, 1) != F.lower(F.substring("word", 1, 1))

@@ -60,7 +60,7 @@ R.add(
     f"""with {_tokens}, bi as (select p1, norm, round(ln(count(*)), 4) as f from t where p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2 having count(*) >= 2),
     tri as (select p2, p1, norm, round(ln(count(*)), 4) as f from t where p2 in (select w1 from u) and p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2, 3 having count(*) >= 2),
     x as (select max(round(ln(cnt), 4)) as top from u), c as (select distinct norm, p1, p2 from t),
-    s as (select c.norm as word, c.p1 as prev, c.p2 as prev_prev, coalesce(greatest(0.0, least(1.0, round(ln(u.cnt), 4) / top)), 0.0) as a, coalesce(greatest(0.0, least(1.0, bi.f / top)), 0.0) as b, coalesce(greatest(0.0, least(1.0, tri.f / top)), 0.0) as t3
+    s as (select c.norm as word, c.p1 as prev, c.p2 as prev_prev, greatest(0.0, least(1.0, coalesce(round(ln(u.cnt), 4), 0.0) / top)) as a, greatest(0.0, least(1.0, coalesce(bi.f, 0.0) / top)) as b, greatest(0.0, least(1.0, coalesce(tri.f, 0.0) / top)) as t3
       from c cross join x left join u on u.w1 = c.norm left join bi on bi.p1 = c.p1 and bi.norm = c.norm left join tri on tri.p2 = c.p2 and tri.p1 = c.p1 and tri.norm = c.norm)
     select word, prev, prev_prev, round(least(0.25::double, a * 0.1::double + b * (0.25::double * 0.35::double) + t3 * (0.25::double * 0.2::double)), 4) as bonus from s""",
 )

@@ -14,16 +14,17 @@ from textloom.sources import lexicon as L
 
 R = Registry()
 
-_forms = "(select distinct lower(trim(word)) as word from verb_forms where word is not null and trim(word) <> '')"
-_missing = "(select distinct lower(trim(word)) as word from lexical_coverage_report where word is not null and trim(word) <> '')"
+_key = "lower(trim(replace(replace(replace(nfc_normalize(word), '’', chr(39)), 'ʼ', chr(39)), '‘', chr(39))))"
+_forms = f"(select distinct {_key} as word from verb_forms where word is not null and trim(word) <> '')"
+_missing = f"(select distinct {_key} as word from lexical_coverage_report where word is not null and trim(word) <> '')"
 
 
 def forms(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "verb_forms").where("word is not null").select(F.lower(F.btrim("word")).alias("word")).where("word <> ''").distinct()
+    return table(spark, folder, "verb_forms").where("word is not null").select(T.key(F.col("word")).alias("word")).where("word <> ''").distinct()
 
 
 def missing(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lexical_coverage_report").where("word is not null").select(F.lower(F.btrim("word")).alias("word")).where("word <> ''").distinct()
+    return table(spark, folder, "lexical_coverage_report").where("word is not null").select(T.key(F.col("word")).alias("word")).where("word <> ''").distinct()
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _scalar(name: str, expression, sql: str) -> None:
 _V = "('a','e','i','o','u','à','è','ì','ò','ù')"
 _graphemes = "regexp_extract_all(word, 'għ|(?s:.)')"
 _consonants = f"list_filter({_graphemes}, lambda x: (x = 'għ' or regexp_full_match(x, '\\p{{L}}')) and x not in {_V})"
-_scalar("str1_key", T.key, "lower(trim(translate(word, '’ʼ‘', '''''''')))" if False else "lower(trim(replace(replace(replace(word, '’', ''''), 'ʼ', ''''), '‘', '''')))")
+R.add("str1_key", lambda s, d: table(s, d, "verb_forms").where("word is not null").select("row_id", T.key(F.col("word")).alias("out")), f"select row_id, {_key} as out from verb_forms where word is not null")
 _scalar("str3_graphemes", lambda w: F.array_join(T.graphemes(w), "|"), f"array_to_string({_graphemes}, '|')")
 _scalar("str4_vowels", lambda w: F.size(F.filter(T.graphemes(w), T.is_vowel)), f"len(list_filter({_graphemes}, lambda x: x in {_V}))::int")
 _scalar("str5_anchor", T.anchor, f"array_to_string(list_filter({_consonants}, lambda x, i: i = 1 or x <> ({_consonants})[i-1]), '')")
@@ -100,8 +101,8 @@ R.add(
 )
 R.add(
     "join2_records",
-    lambda s, d: missing(s, d).join(table(s, d, "verb_forms").where("word is not null").withColumn("word", F.lower(F.btrim("word"))).groupBy("word").agg(F.count("*").alias("n_records")), "word"),
-    f"select m.word, count(*) as n_records from {_missing} m join verb_forms v on lower(trim(v.word)) = m.word group by 1",
+    lambda s, d: missing(s, d).join(table(s, d, "verb_forms").where("word is not null").withColumn("word", T.key(F.col("word"))).groupBy("word").agg(F.count("*").alias("n_records")), "word"),
+    f"select m.word, count(*) as n_records from {_missing} m join (select {_key} as word from verb_forms) v on v.word = m.word group by 1",
 )
 _fit = "length(word) <= 32 and regexp_matches(word, '\\p{L}') and not regexp_matches(word, '[-'' ]')"
 _less = "list_contains(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {1})"
