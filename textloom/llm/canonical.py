@@ -63,11 +63,17 @@ def _one_script(match: re.Match) -> str:
 
 
 def _one_script_joined(match: re.Match) -> str:
-    """Within a word of several parts, a part of look-alikes only (of two letters or more) follows the Latin parts."""
+    """Within a word of several parts, a part of look-alikes only follows the Latin parts; a single letter only after an apostrophe."""
     word = match.group()
     if not _other.search(word) or not _latin.search(word):
         return word
-    return _word.sub(lambda m: m.group().translate(_looks) if len(m.group()) > 1 and all(c in LOOKALIKE for c in m.group()) else m.group(), word)
+
+    def part(m: re.Match) -> str:
+        own = m.group()
+        after_apostrophe = m.start() > 0 and word[m.start() - 1] == "'"
+        return own.translate(_looks) if (len(own) > 1 or after_apostrophe) and all(c in LOOKALIKE for c in own) else own
+
+    return _word.sub(part, word)
 
 
 def _pass(segment: str) -> str:
