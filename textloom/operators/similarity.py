@@ -19,7 +19,7 @@ def deletes(word: Column, distance: int = 2) -> Column:
 
     def less(w: Column) -> Column:
         g = F.regexp_extract_all(w, F.lit("(?s:.)"), F.lit(0))
-        return F.when(F.size(g) > 1, F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_join(F.concat(F.slice(g, F.lit(1), i), F.slice(g, i + 2, F.size(g))), ""))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(g) > 0, F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_join(F.concat(F.slice(g, F.lit(1), i), F.slice(g, i + 2, F.size(g))), ""))).otherwise(F.array().cast("array<string>"))
 
     out = level = F.array(word)
     for _ in range(distance):
