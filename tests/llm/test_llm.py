@@ -187,6 +187,12 @@ def test_truncation(spark):
     assert truncation.judged(truncation.values(logs.limit(0), events.limit(0)), truncation.corpus(logs.limit(0))).count() == 0
 
 
+def test_truncation_counts_inputs_and_outputs(spark):
+    logs = spark.createDataFrame([("one two three", "four five six"), ("seven eight nine", ""), ("ten eleven twelve", None), (None, "  "), (None, None)], "input string, final_output string")
+    counted = {r.key: r.n for r in truncation.counts(truncation.corpus(logs)).where("key like 'w %'").collect()}
+    assert counted == {f"w {w}": 1 for w in ("one", "two", "four", "five", "seven", "eight", "ten", "eleven")}
+
+
 # 2. Personal data
 
 
