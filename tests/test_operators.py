@@ -2,11 +2,13 @@
 
 import itertools
 
+from conftest import SF
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import check, evidence, grammar, ngrams, rows, similarity
+from textloom.plans import words
 from textloom.streaming import choices
 
 
@@ -27,6 +29,14 @@ def test_near_words_equal_brute_force(spark):
     assert {(r["query"], r["word"], r["distance"]) for r in similarity.near(df, df, 2).collect()} == expected
 
 
+def test_near_words_query_reaches_two_edits(spark):
+    df = words.QUERIES["join7_near_words_two_edits"](spark, SF)
+    fit = lambda rows: {r.word for r in rows.collect() if len(r.word) <= 32 and any(c.isalpha() for c in r.word) and not set(r.word) & set("-' ")}
+    expected = {(a, b, lev(a, b)) for a in fit(words.missing(spark, SF)) for b in fit(words.forms(spark, SF)) if lev(a, b) <= 2}
+    got = [tuple(r) for r in df.select("query", "word", "distance").collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and any(d == 2 for _, _, d in got)
+
+
 def test_near_anchors(spark):
     q, w = spark.createDataFrame([("mort",), ("xzq",)], "word string"), spark.createDataFrame([("mrot",), ("mrr",), ("mort",), ("xzqt",)], "word string")
     assert {(r["query"], r["anchor"]) for r in similarity.near_anchors(q, w).collect()} == {("mrt", "mrt"), ("xzq", "xzqt")}

@@ -117,6 +117,8 @@ R.add(
     select a as query, b as word, case when a = b then 0 else 1 end::int as distance from m join f on abs(length(a) - length(b)) <= 1 and case when length(a) = length(b)
       then len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) <= 1 when length(a) > length(b) then {_less.format('a', 'b')} else {_less.format('b', 'a')} end""",
 )
+# The whole job of JOIN-7; no SQL, as DuckDB's levenshtein counts bytes and an own one would compare all pairs.
+R.add("join7_near_words_two_edits", lambda s, d: similarity.near(missing(s, d), forms(s, d), 2))
 R.add("join8_near_anchors", lambda s, d: similarity.near_anchors(missing(s, d), forms(s, d)))
 R.add("mor1_parses", lambda s, d: suffixes.parses(missing(s, d)).select("word", "stem", "ending", "label", "priority"))
 R.add(
