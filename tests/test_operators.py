@@ -114,6 +114,13 @@ def test_verb_rules_and_rewrite(spark):
     assert [r.word for r in grammar.rewrite(tokens, found).orderBy("pos").collect()] == ["hu", "mar", "jixtri", "u", "mar"]
 
 
+def test_every_person_is_asked_for(spark):
+    got = words.QUERIES["join5_all_persons"](spark, SF)
+    one = words.QUERIES["join5_person_variants"](spark, SF)
+    assert {r.person for r in got.collect()} == set(words.PERSONS) and one.exceptAll(got).count() == 0
+    assert got.groupBy("word", "person").count().where("count > 1").count() == 0
+
+
 def test_rows_are_split_with_their_reason(spark):
     v = [('1,a,T-ktb-F1-PERF-3SM,"to ""x"""', None), ("", "columns"), ("   ", "columns"), (None, "columns"), ('1,a"b,c,d', "quoting"), ("0,a,T-ktb-F1-PERF-3SM,", "value"), ("1,,T-ktb-F1-PERF-3SM,x", "value"), (",,,", "value"), ("1,a,AS-ktb-PERF-3SM-N,", None), ("1,a,AS-k1b-PERF-3SM,", "value"), ('1,"a",T-ktb-F11-PERF-3SM,', "value"), ("1234567890,a,T-ktb-F1-PERF-3SM,x", "value")]
     df = spark.createDataFrame([(i, x, "own") for i, (x, _) in enumerate(v)], "row_id long, line string, word string")

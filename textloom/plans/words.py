@@ -156,6 +156,27 @@ R.add(
     p as (select own.word, f.person, f.word as variant, (f.tense <> own.tense)::int as other, f.line_number from own join f on own.short_tag = f.short_tag and f.person = '3SM' and f.word <> own.word)
     select word, person, variant from p qualify row_number() over (partition by word, person order by other, line_number, variant) = 1""",
 )
+PERSONS = ("1S", "2S", "3SM", "3SF", "1P", "2P", "3P")
+
+
+def paradigm(rows: DataFrame) -> DataFrame:
+    """(word, person, variant) of every finite word of verb records with each other person as the target (JOIN-5)."""
+    targets = F.explode(F.array(*[F.lit(p) for p in PERSONS])).alias("target")
+    wanted = rows.where("tense <> 'IMP'").select("word", "person", targets).where("person <> target")
+    return L.person_variants(rows, wanted.select("word", F.col("target").alias("person")).distinct())
+
+
+R.add(
+    "join5_all_persons",
+    lambda s, d: paradigm(records(s, d)),
+    f"""with r as (select word, raw_tag, tense, person, line_number, concat_ws('-', tag_prefix, case when coalesce(stem_kind, '') <> '' then stem_kind end, coalesce(root, ''), form_class) as short_tag
+      from verb_forms where word is not null and raw_tag is not null qualify row_number() over (partition by word, raw_tag order by line_number, row_id) = 1),
+    f as (select * from r where tense <> 'IMP'),
+    w as (select distinct f.word, t.target from f, unnest({list(PERSONS)}) as t(target) where f.person <> t.target),
+    own as (select distinct w.word, w.target, f.short_tag, f.tense from w join f on w.word = f.word),
+    p as (select own.word, own.target as person, f.word as variant, (f.tense <> own.tense)::int as other, f.line_number from own join f on own.short_tag = f.short_tag and f.person = own.target and f.word <> own.word)
+    select word, person, variant from p qualify row_number() over (partition by word, person order by other, line_number, variant) = 1""",
+)
 R.add(
     "src11_names",
     lambda s, d: L.by_tag(table(s, d, "name_list"), "NAME"),
