@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import check, evidence, grammar, ngrams, rows, similarity
-from textloom.plans import words
+from textloom.plans import corpus, words
 from textloom.streaming import choices
 
 
@@ -114,6 +114,30 @@ def test_verb_rules_and_rewrite(spark):
     assert [r.word for r in grammar.rewrite(tokens, found).orderBy("pos").collect()] == ["hu", "mar", "jixtri", "u", "mar"]
 
 
+def test_grammar_queries_have_all_features(spark, tmp_path):
+    verbs = [("marret", "T-mur-F1-PERF-3SF", "mur", "F1", "PERF", "3SF"), ("nixtri", "T-xtr-F8-MPERF-1S", "xtr", "F8", "MPERF", "1S"), ("jixtri", "T-xtr-F8-MPERF-3SM", "xtr", "F8", "MPERF", "3SM"), ("tixtri", "T-xtr-F8-MPERF-3SF", "xtr", "F8", "MPERF", "3SF"), ("dam", "T-dwm-F1-PERF-3SM", "dwm", "F1", "PERF", "3SM")]
+    tables = {
+        "verb_forms": spark.createDataFrame([(i, i, w, t, t[0], r, f, x, p, None) for i, (w, t, r, f, x, p) in enumerate(verbs)], "row_id long, line_number long, word string, raw_tag string, tag_prefix string, root string, form_class string, tense string, person string, stem_kind string"),
+        "name_list": spark.createDataFrame([("karozza", "SINGNOUNF-car"), ("aħmar", "SINGADJM-red"), ("ħamra", "SINGADJF-red"), ("kotba", "PLUNOUN-books")], "surface string, payload string"),
+        "corpus_lines": spark.createDataFrame([(1, "f", 1, "kbir | ADJ | kbir | kbr"), (2, "f", 2, "itwal | ADJ | itwal | twl")], "row_id long, file string, line_no long, line string"),
+        "create_log": spark.createDataFrame([(1, "hu nixtri"), (2, "marret nixtri"), (3, "karozza aħmar"), (4, "tlieta kotba"), (5, "marret kbir"), (6, "nixtri kbir"), (7, "dam itwal"), (8, "dam kbir"), (9, None)], "row_id long, input string"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {(r.doc_id, r.rule_id): r.suggestion for r in corpus.QUERIES["win_findings"](spark, str(tmp_path)).collect()}
+    assert found == {
+        (1, "SUBJECT_VERB_PERSON_NUMBER"): "hu jixtri",
+        (1, "HU_U_HU_CONFUSABLE"): "hu",
+        (2, "VERB_VERB_PERSON_NUMBER"): "marret tixtri",
+        (3, "AMOD_GENDER_AGREEMENT"): "karozza ħamra",
+        (4, "NUMERAL_NOUN_NUMBER"): "plural_or_paucal",
+        (6, "VERB_ADJECTIVE_COMPATIBILITY"): "nixtri u jsir kbir",
+        (8, "VERB_ADJECTIVE_COMPATIBILITY"): "dam u jsir kbir",
+    }
+    texts = {(r.doc_id, r.pos): r.word for r in corpus.QUERIES["win13_rewritten"](spark, str(tmp_path)).collect()}
+    assert texts[2, 1] == "tixtri" and texts[1, 1] == "nixtri" and texts[3, 1] == "aħmar"
+
+
 def test_every_person_is_asked_for(spark):
     got = words.QUERIES["join5_all_persons"](spark, SF)
     one = words.QUERIES["join5_person_variants"](spark, SF)

@@ -19,7 +19,10 @@ BOUNDARIES = ("ax", "għax", "ghax", "għaliex", "ghaliex", "li", "jekk", "meta"
 INTENSIFIERS = ("hafna", "naqra", "iktar", "inqas", "anqas")
 CONFUSABLE = ("hu", "u", "ħu")
 PREDICATIVE_ROOTS = ("kbr", "sjr", "qwm", "kwn", "rqd", "mwt")
-FEATURES = {"is_noun": "boolean", "is_adjective": "boolean", "is_numeral": "boolean", "is_verb": "boolean", "noun_gender": "string", "noun_number": "string", "adjective_gender": "string", "adjective_number": "string", "persons": "array<string>", "perf": "boolean", "mperf": "boolean", "person": "string", "is_place": "boolean", "comparative": "boolean", "predicative": "boolean"}
+PRONOUNS = {"jien": "1S", "int": "2S", "inti": "2S", "hu": "3SM", "hi": "3SF", "aħna": "1P", "ahna": "1P", "intom": "2P", "huma": "3P"}
+NUMERALS = ("wieħed", "waħda", "żewġ", "tnejn", "tlieta", "erbgħa", "ħamsa", "ħams", "sitta", "sitt", "sebgħa", "seba", "tmienja", "tmien", "disgħa", "disgħ", "għaxra", "għoxrin")
+FEATURES = {"is_noun": "boolean", "is_adjective": "boolean", "is_numeral": "boolean", "is_verb": "boolean", "noun_gender": "string", "noun_number": "string", "adjective_gender": "string", "adjective_number": "string", "persons": "array<string>", "perf": "boolean", "mperf": "boolean", "person": "string", "is_place": "boolean", "comparative": "boolean", "predicative": "boolean", "lasting": "boolean"}
+
 
 def tokenize(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, pos, word) of whole texts."""
@@ -146,9 +149,15 @@ def numerals(rows: DataFrame) -> DataFrame:
     return _finding(hits, "NUMERAL_NOUN_NUMBER", 0, 2, _two(), F.array(F.when(singular, "singular").otherwise("plural_or_paucal")), "the numeral asks for this number")
 
 
+def allows_adjective(root: Column, form_class: Column) -> Column:
+    """What a verb record says of an adjective after it: "all" are allowed, "lasting" allows two, null decides nothing (WIN-9)."""
+    first = (form_class == "F1") & (root.isin(*PREDICATIVE_ROOTS) | ((F.char_length(root) == 3) & (root != "rjq")))
+    return F.when(root == "dwm", "lasting").when(first | ((root == "wld") & form_class.startswith("F6")), "all")
+
+
 def verb_adjective(rows: DataFrame) -> DataFrame:
     """A verb that takes no adjective before one (WIN-9)."""
-    hits = rows.where(F.col("is_verb") & ~F.col("is_noun") & F.col("n_is_adjective") & ~F.col("predicative") & ~F.col("n_norm").isin(*INTENSIFIERS))
+    hits = rows.where(F.col("is_verb") & ~F.col("is_noun") & F.col("n_is_adjective") & ~F.col("predicative") & ~(F.col("lasting") & F.col("n_norm").isin("itwal", "iqsar")) & ~F.col("n_norm").isin(*INTENSIFIERS))
     return _finding(hits, "VERB_ADJECTIVE_COMPATIBILITY", 0, 2, _two(), F.array(F.concat("word", F.lit(" u jsir "), "n_word")), "the verb takes no adjective")
 
 

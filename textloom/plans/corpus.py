@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import anchor, key
 from textloom.operators import evidence, grammar, ngrams, rows
 from textloom.plans.registry import Registry
-from textloom.plans.words import forms, records
-from textloom.session import table
+from textloom.plans.words import forms, paradigm, records
+from textloom.session import cut, table
+from textloom.sources import lexicon as L
 
 R = Registry()
 
@@ -114,14 +118,53 @@ R.add(
 R.add("agg5_unrecognized", lambda s, d: evidence.unrecognized(_texts(s, d), _lexicon(s, d)))
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The verb records under the key of their word, as the tokens of a text meet them."""
+    return records(spark, folder).withColumn("word", key(F.col("word"))).where("word <> ''")
+
+
 def _features(spark: SparkSession, folder: str) -> DataFrame:
-    """Word classes of the corpus tags and persons of the verb records."""
+    """Word classes of the corpus tags, genders and numbers of the dictionary tags, persons of the verb records, and the closed classes."""
     loaded, _ = rows.load_corpus_lines(table(spark, folder, "corpus_lines"))
     has = lambda t: F.max((F.col("tag") == t).cast("int")).cast("boolean")
-    tags = loaded.groupBy(F.lower("surface").alias("word")).agg(has("NOUN").alias("is_noun"), has("ADJ").alias("is_adjective"), has("VERB").alias("is_verb"))
-    finite = records(spark, folder).where("tense <> 'IMP'")
-    verbs = finite.groupBy("word").agg(F.array_sort(F.collect_set("person")).alias("persons"), F.max((F.col("tense") == "PERF").cast("int")).cast("boolean").alias("perf"), F.max((F.col("tense") == "MPERF").cast("int")).cast("boolean").alias("mperf"))
-    return tags.join(verbs, "word", "full_outer")
+    corpus = loaded.groupBy(F.lower("surface").alias("word")).agg(has("NOUN").alias("c_noun"), has("ADJ").alias("c_adjective"), has("VERB").alias("c_verb"))
+    tags = L.tag_features(table(spark, folder, "name_list").where("trim(surface) <> ''").select("surface", "payload")).withColumnRenamed("prefixes", "tags")
+    found = _records(spark, folder)
+    finite = lambda c: F.when((F.col("tense") != "IMP") & (F.col("person") != ""), c)
+    allows = grammar.allows_adjective(F.col("root"), F.col("form_class"))
+    verbs = found.groupBy("word").agg(
+        F.array_sort(F.collect_set(finite(F.col("person")))).alias("persons"),
+        F.max(finite(F.col("tense") == "PERF")).alias("perf"),
+        F.max(finite(F.col("tense") == "MPERF")).alias("mperf"),
+        F.min_by(allows, F.when(allows.isNotNull(), F.struct("line_number", "row_id"))).alias("allows"),
+        F.lit(True).alias("has_records"),
+    )
+    closed = spark.createDataFrame([(w, grammar.PRONOUNS.get(w), w in grammar.NUMERALS) for w in sorted({*grammar.PRONOUNS, *grammar.NUMERALS})], "word string, pronoun string, numeral boolean")
+    every = corpus.join(tags, "word", "full_outer").join(verbs, "word", "full_outer").join(closed, "word", "full_outer")
+    is_any = lambda *names: reduce(lambda a, b: a | b, (F.coalesce(n, F.lit(False)) for n in names))
+    tagged = lambda *names: F.arrays_overlap("tags", F.array(*[F.lit(n) for n in names]))
+    noun_person = F.when(tagged("SINGNOUNF"), "3SF").when(tagged("SINGNOUNM"), "3SM").when(tagged("PLUNOUN", "PAUCNOUN", "COLLNOUN"), "3P")
+    return every.select(
+        "word",
+        is_any("c_noun", "is_noun").alias("is_noun"),
+        is_any("c_adjective", "is_adjective").alias("is_adjective"),
+        is_any("is_numeral", "numeral").alias("is_numeral"),
+        is_any("c_verb", "has_records").alias("is_verb"),
+        *("noun_gender", "noun_number", "adjective_gender", "adjective_number", "persons", "perf", "mperf"),
+        F.coalesce("pronoun", noun_person).alias("person"),
+        # A verb without records has no root to be judged by.
+        (F.col("has_records").isNull() | F.coalesce(F.col("allows") == "all", F.lit(False))).alias("predicative"),
+        F.coalesce(F.col("allows") == "lasting", F.lit(False)).alias("lasting"),
+    )
+
+
+def _analyzed(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of all rules with the variants that they suggest; every rule reads the features, so they are made once."""
+    features = cut(_features(spark, folder))
+    adjectives = features.where("is_adjective")
+    anchors = adjectives.select("word", anchor(F.col("word")).alias("anchor")).where("anchor <> ''")
+    by = lambda wanted: grammar.adjective_variants(adjectives, anchors, wanted=wanted)
+    return grammar.analyze(_texts(spark, folder), features, cut(paradigm(_records(spark, folder))), by("adjective_gender"), by("adjective_number"))
 
 
 def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +172,7 @@ def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _short = ("doc_id", "start", "end", "surface", "suggestion")
-R.add("win_findings", lambda s, d: grammar.analyze(_texts(s, d), _features(s, d)))
+R.add("win_findings", _analyzed)
 _positions = r"""d as (select row_id as doc_id, regexp_extract_all(coalesce(input, ''), '[\p{L}\p{M}''’]+') as ws from create_log),
     e as (select doc_id, unnest(range(len(ws)))::int as pos, unnest(ws) as word, len(ws)::int as n from d),
     k as (select doc_id, pos, word, n, lower(replace(word, '’', '''')) as norm from e),
@@ -161,8 +204,7 @@ R.add("win11_contractions", lambda s, d: grammar.contractions(_phrases(s, d).sel
 
 
 def _rewritten(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _texts(spark, folder)
-    return grammar.rewrite(texts, grammar.analyze(texts, _features(spark, folder)), ("AMOD_ORDER_NOUN_BEFORE_ADJ",))
+    return grammar.rewrite(_texts(spark, folder), _analyzed(spark, folder))
 
 
 R.add("win13_rewritten", _rewritten)
