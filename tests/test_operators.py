@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import check, evidence, grammar, ngrams, rows, similarity
+from textloom.operators import check, evidence, grammar, ngrams, rows, similarity, suffixes
 from textloom.plans import corpus, words
 from textloom.streaming import choices
 
@@ -138,6 +138,15 @@ def test_grammar_queries_have_all_features(spark, tmp_path):
     assert texts[2, 1] == "tixtri" and texts[1, 1] == "nixtri" and texts[3, 1] == "aħmar"
 
 
+def test_records_by_anchors_of_guesses_and_near_ones(spark):
+    records = spark.createDataFrame([("kiteb", "T-ktb", False, "ktb"), ("qata", "T-qt", False, "qt")], "word string, raw_tag string, object_blocked boolean, anchor string")
+    typed = spark.createDataFrame([("kidibhom",), ("qatagħhom",), ("kitibhom",)], "word string")
+    got = {(r.word, r.r_word, r.via) for r in suffixes.records_for(suffixes.parses(typed), records).where("ending = 'hom'").collect()}
+    assert got == {("kidibhom", "kiteb", 3), ("qatagħhom", "qata", 2), ("kitibhom", "kiteb", 1)}
+    best = {(r.word, r.surface) for r in suffixes.suggestions(suffixes.parses(typed), records).collect()}
+    assert {("kidibhom", "kitibhom"), ("qatagħhom", "qatahom")} <= best
+
+
 def test_every_person_is_asked_for(spark):
     got = words.QUERIES["join5_all_persons"](spark, SF)
     one = words.QUERIES["join5_person_variants"](spark, SF)
