@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import canonical, encoding, language, packing, personal, spans, tokens, truncation
+from textloom.llm import canonical, encoding, language, packing, personal, queries, spans, tokens, truncation
 
 DOC = "doc_id long, text string"
 
@@ -148,6 +148,17 @@ def test_quick_check_agrees_and_columns_keep_nulls(spark):
     assert {r.row_id for r in canonical.changed(df).collect()} == {1, 5}
 
 
+def test_forms_of_all_fields(spark, tmp_path):
+    for name, columns in (("create_log", "input"), ("verb_forms", "word"), ("unified_match", "group0 inner_text")):
+        kinds = ", ".join(f"{c} string" for c in columns.split())
+        texts = ["c\u0307ar", "għax", None]
+        rows = [(i, *[t] * len(columns.split())) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, f"row_id long, {kinds}").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.table_name, r.field_name, r.row_id): r.form for r in queries.p6_forms(spark, str(tmp_path)).collect()}
+    fields = (("create_log", "input"), ("verb_forms", "word"), ("unified_match", "group0"), ("unified_match", "inner_text"))
+    assert got == {(*f, i): form for f in fields for i, form in enumerate(("ċar", "għax", None))}
+
+
 # 1. Encodings
 
 

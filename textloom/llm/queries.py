@@ -116,10 +116,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Every matched word and quote with its text in the consistent form."""
-    from textloom.llm.canonical import canonical
+    """Every value of the fields, and every quote, with its text in the consistent form."""
+    from textloom.llm import canonical, encoding
 
-    return canonical(table(spark, folder, "unified_match").select("row_id", "group0", "inner_text"), "group0", "inner_text")
+    fields = (("create_log", "input"), ("verb_forms", "word"), ("unified_match", "group0"), ("unified_match", "inner_text"))
+    values = encoding.fields({(t, f): table(spark, folder, t) for t, f in fields})
+    return canonical.canonical(values, "text").withColumnRenamed("text", "form")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
