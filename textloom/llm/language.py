@@ -2,7 +2,7 @@
 
 Features are character n-grams with TF-IDF weights, hashed to a fixed number of buckets. A multinomial logistic
 regression is trained on them with follow-the-regularised-leader and elastic-net penalties, on the sentences of a
-bounded sample of labelled rows (``SAMPLE_ROWS`` of each label). As labels may be wrong, each half of the sentences is
+bounded sample of labelled rows (``SAMPLE_ROWS`` of each label, each with its whole text). As labels may be wrong, each half of the sentences is
 judged by a model of the other half, and what it contradicts is left out of the training proper. Confidences are calibrated by a temperature on held-out
 sentences. The model (a table of weights) then judges every sentence of every row in Arrow batches; nothing is shuffled.
 
@@ -18,28 +18,31 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.arrow import strings
 
-SAMPLE_ROWS = 600
-SAMPLE_CHARS = 2_000_000
+SAMPLE_ROWS = 1000
+#: The calibration takes this share of a held-out sentence to be of any language, so that a model without held-out errors doesn't become certain.
+SMOOTHING = 0.01
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
 SHORT = 4
 EPOCHS = 3
 #: A sentence shows a language of its own with this confidence and at least so many letters and words.
-SURE, LETTERS, WORDS = 0.9, 12, 3
+SURE, LETTERS, WORDS = 0.75, 12, 3
 
 _SIZE = 1 << 16
-_QUOTED = re.compile(r'"[^"\n]{0,2000}(?:"|$)|“[^”]{0,2000}(?:”|$)|«[^»]{0,2000}(?:»|$)|„[^“”]{0,2000}(?:[“”]|$)')
+_OPENING = re.compile('["“«„]')
+_CLOSING = {'"': re.compile('["\n]'), "“": re.compile("”"), "«": re.compile("»"), "„": re.compile("[“”]")}
 _ENDS = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\[\"'(]*[^\W\d_a-zàèéìòùħġċż])|\n\s*\n")
-_CLOSED = re.compile(r"[.!?][\"')\]]*\s*$")
-_CUT = re.compile(r"(?:\.\.+|…)[\"')\]]*\s*$")
+_CLOSED = re.compile(r"[.!?][\"')\]]*\s*\Z")
+_CUT = re.compile(r"(?:\.\.+|…)[\"')\]]*\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG = re.compile(r"[^\W\d_]{2,}")
 
@@ -125,7 +128,41 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def blank_quotes(text: str) -> str:
-    return _QUOTED.sub(lambda m: " " * len(m.group()), text)
+    """The text with blanks for its quotations, however long; one that isn't closed ends with its line."""
+    out, at = [], 0
+    unclosed: set[str] = set()  # marks that close nowhere in the rest
+    while m := _OPENING.search(text, at):
+        start, mark = m.start(), m.group()
+        close = None if mark in unclosed else _CLOSING[mark].search(text, m.end())
+        if close is None:
+            unclosed.add(mark)
+            end = text.find("\n", start)
+            end = len(text) if end < 0 else end
+        elif close.group() == "\n":  # a straight mark alone in its line encloses nothing
+            out.append(text[at : m.end()])
+            at = m.end()
+            continue
+        else:
+            end = close.end()
+        out += [text[at:start], " " * (end - start)]
+        at = end
+    out.append(text[at:])
+    return "".join(out)
+
+
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&#?\w+;")
+
+
+def prose(text: str) -> str:
+    """The text with blanks for quotations, tags and entities, every character in its place."""
+    if "<" in text or "&" in text:
+        text = _TAG.sub(lambda m: " " * len(m.group()), text)
+    return blank_quotes(text) if _OPENING.search(text) else text
+
+
+def at_least(pattern: re.Pattern, text: str, n: int) -> bool:
+    """Whether a pattern stands at least n times in the whole text; looks no further than it must."""
+    return next(islice(pattern.finditer(text), n - 1, None), None) is not None
 
 
 def _ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, epochs: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +193,7 @@ def train(rows: list[tuple[str, str]], languages: tuple[str, ...], epochs: int =
     """A model from labelled texts."""
     texts, labels = [], []
     for text, label in rows:
-        plain = blank_quotes(text)
+        plain = prose(text)
         for a, b in sentences(plain):
             if len(_WORD.findall(plain[a:b])) >= WORDS:
                 texts.append(plain[a:b].strip())
@@ -199,24 +236,25 @@ def train(rows: list[tuple[str, str]], languages: tuple[str, ...], epochs: int =
     def loss(t: float) -> float:
         x = logits[right] / t
         x = x - x.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(right)), y[right]]).mean())
+        own = (1 - SMOOTHING) * x[np.arange(len(right)), y[right]] + SMOOTHING * x.mean(axis=1)
+        return float((np.log(np.exp(x).sum(axis=1)) - own).mean())
 
     temperature = min((1.15**i for i in range(-12, 25)), key=loss)
     return Model(languages, model.weights, model.bias, temperature)
 
 
 def fit(df: DataFrame, id_column: str, text_column: str, label_column: str, languages: tuple[str, ...], sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``sample_rows`` rows of each label, chosen by the hash of their id."""
-    rows: list[tuple[str, str]] = []
-    for language in languages:
-        own = df.where((F.col(label_column) == language) & (F.char_length(text_column) >= 20)).select(F.substring(text_column, 1, 4000).alias("text"), F.xxhash64(id_column).alias("h"))
-        size = 0
-        for r in own.orderBy("h").limit(sample_rows).collect():
-            size += len(r["text"])
-            if size > SAMPLE_CHARS:
-                break
-            rows.append((r["text"], language))
-    return train(rows, languages)
+    """A model from at most ``sample_rows`` rows of each label, chosen by the hash of their id, with their whole texts.
+
+    The rows are chosen on ids and labels alone (each task hands on no more than the bound), and one pass reads their texts.
+    """
+    h = F.xxhash64(id_column)
+    labelled = df.where(F.col(label_column).isin(*languages)).select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), h.alias("h"))
+    chosen = labelled.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= sample_rows)
+    ids = [r["id"] for r in chosen.select("id").collect()]  # at most sample_rows for each label
+    texts = df.where(F.col(id_column).isin(ids) & F.col(label_column).isin(*languages) & F.col(text_column).isNotNull())
+    rows = texts.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"), h.alias("h")).collect()
+    return train([(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["label"], r["h"], r["text"])) if r["text"].strip()], languages)
 
 
 def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float | None, list[dict]]]:
@@ -225,7 +263,7 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
     pieces: list[str] = []
     counts: list[int] = []
     for i, text in enumerate(texts):
-        body = blank_quotes(text) if text and ('"' in text or "“" in text or "«" in text or "„" in text) else text or ""
+        body = prose(text) if text else ""
         plain.append(body)
         found = sentences(body) if body else []
         for a, b in found:
@@ -233,7 +271,7 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
             pieces.append(piece)
             owners.append(i)
             spans.append((a, b))
-            whole.append(b < len(body) or bool(_CLOSED.search(piece[-8:]) and not _CUT.search(piece[-8:])))
+            whole.append(bool(_CLOSED.search(piece)) and not _CUT.search(piece))
         counts.append(len(found))
     p = model.probabilities(pieces) if pieces else np.zeros((0, len(model.languages)))
     out: list[tuple[str | None, float | None, list[dict]]] = []
@@ -241,34 +279,29 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
     for text, n in zip(texts, counts):
         own = range(at, at + n)
         at += n
-        words = [len(_LONG.findall(pieces[k])) if len(pieces[k]) < 400 else 99 for k in own]
-        total_words = len(_WORD.findall(text[:600])) if text else 0
-        if not text or (total_words <= SHORT and len(text) < 600):
+        if not text or not at_least(_WORD, text, SHORT + 1):
             out.append((None, None, []))
             continue
         best = p[at - n : at].argmax(axis=1) if n else np.zeros(0, int)
-        sure = [j for j, k in enumerate(own) if whole[k] and p[k].max() >= SURE and words[j] >= WORDS and len(pieces[k].strip()) >= LETTERS]
+        sure = [j for j, k in enumerate(own) if whole[k] and p[k].max() >= SURE and len(pieces[k].strip()) >= LETTERS and at_least(_LONG, pieces[k], WORDS)]
         shown = {int(best[j]) for j in sure}
         weight = np.zeros(len(model.languages))
         for j, k in enumerate(own):
-            if words[j] >= 2 or n == 1:
-                weight += p[k] * min(len(pieces[k]), 400)
+            if n == 1 or at_least(_LONG, pieces[k], 2):
+                weight += p[k] * len(pieces[k])
         if weight.sum() == 0:
-            q = model.probabilities([text])[0]
-            if not _WORD.search(text):
-                out.append((None, None, []))
-                continue
-            weight = q
+            weight = model.probabilities([text])[0]
         main = int(weight.argmax()) if not shown or int(weight.argmax()) in shown else max(shown, key=lambda s: weight[s])
         confidence = float(weight[main] / weight.sum())
         segments: list[dict] = []
         if len(shown) > 1:
             # Unsure sentences go with the segment before them.
+            certain = set(sure)
             for j, k in enumerate(own):
-                language = model.languages[int(best[j])] if j in set(sure) else segments[-1]["lang"] if segments else model.languages[int(best[sure[0]])]
+                language = model.languages[int(best[j])] if j in certain else segments[-1]["lang"] if segments else model.languages[int(best[sure[0]])]
                 if segments and segments[-1]["lang"] == language:
                     segments[-1]["end"] = spans[k][1]
-                    segments[-1]["confidence"] = min(segments[-1]["confidence"], float(p[k].max())) if j in set(sure) else segments[-1]["confidence"]
+                    segments[-1]["confidence"] = min(segments[-1]["confidence"], float(p[k].max())) if j in certain else segments[-1]["confidence"]
                 else:
                     segments.append({"start": spans[k][0], "end": spans[k][1], "lang": language, "confidence": float(p[k].max())})
         out.append((model.languages[main], round(confidence, 4), segments))
