@@ -199,9 +199,26 @@ def test_truncation(spark):
 
 
 def test_truncation_counts_inputs_and_outputs(spark):
-    logs = spark.createDataFrame([("one two three", "four five six"), ("seven eight nine", ""), ("ten eleven twelve", None), (None, "  "), (None, None)], "input string, final_output string")
+    logs = spark.createDataFrame([("one two three", "four five six"), ("seven eight nine", ""), ("ten eleven twelve", None), (None, "  "), (None, None)], "input string, final_output string").withColumn("notes", F.lit("thirteen fourteen fifteen"))
     counted = {r.key: r.n for r in truncation.counts(truncation.corpus(logs)).where("key like 'w %'").collect()}
-    assert counted == {f"w {w}": 1 for w in ("one", "two", "four", "five", "seven", "eight", "ten", "eleven")}
+    assert counted == {f"w {w}": 1 for w in ("one", "two", "four", "five", "seven", "eight", "ten", "eleven")} | {"w thirteen": 5, "w fourteen": 5}
+
+
+def test_truncation_looks_at_whole_texts(spark):
+    end = truncation._end
+    open_text = "The quiet was near the win"
+    assert end(open_text + " " * 61, False)[:2] == end(open_text, False)[:2] == (True, False) and end(open_text + "." + " " * 100, False) is True
+    assert end("The small was near the \u200b…" + "\u200b" * 70, False)[1] and end("Two words", False) is None and end(" \u200b ", False) is None
+    long = "x" * 61 + "yz"
+    known = {r.node: (r.known, r.inner) for r in truncation.trie(spark.createDataFrame([(long, 3), ("ab", 1)], "word string, n long"), [62]).collect()}
+    assert known[long[:62]] == (False, True) and known["ab"] == (True, False) and known["a"] == (False, True) and long not in known
+    assert truncation.parts("One two. Three fo")[0] == "One two. Three" and truncation.body("So it was…\"") == "So it was" and truncation.body("So it was...") == "So it was"
+
+
+def test_missing_full_stop_alone_decides_nothing(spark):
+    logs = spark.createDataFrame([(i, f"l{i}", "a", "They went home by the river", None, None) for i in range(3)] + [(9, "l9", "a", "They went home by the riv", None, None)], "row_id long, log_id string, client string, input string, notes string, final_output string")
+    rows = truncation.judged(truncation.values(logs, logs.select("row_id", "log_id", "final_output")), truncation.corpus(logs.where("row_id < 9").unionByName(logs.limit(1).withColumn("input", F.lit("The river and the house.")))))
+    assert {r.row_id: (r.is_cut, r.evidence) for r in rows.collect()} == {0: (False, None), 1: (False, None), 2: (False, None), 9: (True, "trie")}
 
 
 # 2. Personal data
@@ -258,6 +275,18 @@ def test_languages_held_out_and_mixed():
     assert got[1][0] == "mt" and got[1][2] == [] and [g[0] for g in got[2:7]] == [None] * 5 and got[7][0] == "en"
 
 
+def test_languages_have_no_size_switches():
+    random.seed(9)
+    model = language.train([(" ".join(phrase(w) for _ in range(3)), label) for w, label in ((EN, "en"), (IT, "it"), (MT, "mt")) for _ in range(40)], ("mt", "en", "it"))
+    numbers = " ".join(str(i) for i in range(200))
+    long_quote = f'{phrase(MT)[:-1]} “{" ".join(phrase(EN) for _ in range(60))}” {phrase(MT)}'
+    late = phrase(MT) + " " + " ".join(f"{i}" for i in range(300)) + " " + phrase(MT) + " " + phrase(EN)
+    got = language.judge(model, ["two words 12345", "two words " + numbers, long_quote, late, '"' + phrase(MT) + "\n" + phrase(EN), phrase(EN) + "\n\n<maths num=\"1\">F &#x3D; l<sup>2</sup></maths>\n\n" + phrase(EN)])
+    assert len(long_quote) > 2400 and [g[0] for g in got] == [None, None, "mt", "mt", "en", "en"] or [g[0] for g in got] == [None, None, "mt", "mt", "mt", "en"]
+    assert got[2][2] == [] and {s["lang"] for s in got[3][2]} == {"mt", "en"} and got[5][2] == []
+    assert language.blank_quotes('a "b" c') == "a     c" and language.blank_quotes("a “b\nc") == "a   \nc" and language.blank_quotes("x „" + "y" * 3000 + "“ z") == "x " + " " * 3002 + " z"
+
+
 def test_labels(spark):
     random.seed(6)
     texts = [(i, phrase((EN, IT, MT)[i % 3]) + " " + phrase((EN, IT, MT)[i % 3]), ("en", "it", "mt")[i % 3]) for i in range(90)]
