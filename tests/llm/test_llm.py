@@ -127,6 +127,7 @@ def test_equal_hashes_are_compared(monkeypatch):
     "text, form",
     [
         ("ｄａｒｂａ", "darba"), ("a​ħna", "aħna"), ("iż-żejt", "iż-żejt"), ("gh̵ax", "għax"), ("Meta hu", "Meta hu"), ("qata’", "qata'"), ("l‑omm", "l-omm"), ("tаħt", "taħt"), ("ιl-baħar", "il-baħar"),
+        ("\uf900", "\u8c48"), ("\u1112\u1161\u11ab", "\ud55c"), ("\u0958", "\u0915\u093c"), ("\u0627\u0653", "\u0622"), ("\u304b\u3099", "\u304c"), ("\ufb1d", "\u05d9\u05b4"), ("\uff76\uff9e", "\u30ac"), ("\u2f80", "\u807f"), ("\ufe50", ","), ("\u0133", "ij"), ("\u01c6", "d\u017e"), ("№ ℃ ² ½ µ ™", "№ ℃ ² ½ µ ™"),
         ("ПЕКАРНА", "ПЕКАРНА"), ("α u β", "α u β"), ("2°C ±3 § … é", "2°C ±3 § … é"), ("", ""), ("﻿The", "The"), ("coﬀ", "coff"), ("perché", "perché"),
     ],
 )
@@ -163,8 +164,8 @@ def test_forms_of_all_fields(spark, tmp_path):
 
 
 def test_learns_and_restores(spark):
-    clean = ["għax", "ħobż", "iżda", "ċirku", "żejt", "ġobon", "ħajt", "żarbun", "ġar", "aħna", "perché", "più"]
-    bad = [w.encode().decode("cp1252", "replace").replace("�", "\x8b") for w in clean[:8]]
+    clean = ["għax", "ħobż", "iżda", "ċirku", "żejt", "ġobon", "ħajt", "żarbun", "ġar", "aħna", "ċar", "perché", "più"]
+    bad = [w.encode().decode("cp1252", "replace").replace("�", "\x8b") for w in clean[:8] + ["ċar"]]
     rows = clean + bad + ["g��ax", "a?na", "São", "2°C ±3", "Ångström", None, "", "xejn?", "Ä§aġa", "Malta? xejn"]
     df = spark.createDataFrame([("t", "f", i, x) for i, x in enumerate(rows)], "table_name string, field_name string, row_id long, text string")
     mapping = encoding.learned(df)
@@ -177,6 +178,34 @@ def test_learns_and_restores(spark):
     assert encoding.garbled(df.limit(0), mapping).count() == 0
 
 
+CLEAN = ["għax", "ħobż", "iżda", "ċirku", "żejt", "ġobon", "ħajt", "żarbun", "ġar", "aħna", "għada", "żgħir", "ċar", "ġdid", "ħadd", "ħelu", "ġenb", "ċavetta", "żiemel", "għarus", "ħabib", "ġnien", "ċoff", "żunżana", "ħolm", "ġurnata"]
+CLEAN = ["ċint", "ċomb", "ċpar", "ċimi", *CLEAN]
+
+
+@pytest.mark.parametrize("read", ["cp1251", "koi8_r", "cp775"])
+def test_learns_a_held_out_encoding(spark, read):
+    bad = ["".join(encoding.read_as(c, "utf-8", read) if ord(c) > 127 else c for c in w) for w in CLEAN]
+    rows = CLEAN * 3 + bad[:24]
+    df = spark.createDataFrame([("t", "f", i, x) for i, x in enumerate(rows)], "table_name string, field_name string, row_id long, text string")
+    counted = encoding.words(df)
+    alphabet, signs = encoding.alphabet_of(counted)
+    assert alphabet == "ĊċĠġĦħŻż"
+    units = [tuple(r) for r in encoding.units(encoding.twins(counted, alphabet)).collect()]
+    others = [c for c in encoding.charmaps() if not c.startswith(("koi8", "kz1048", "ptcp154", "mac-cyr", read.replace("_", "-")))]
+    alone = encoding.learn(units, alphabet, signs, read=others)  # from the pairs alone
+    repair = encoding.Repair(alone)
+    assert [repair.text(w)[1] for w in bad[24:]] == CLEAN[24:]
+    assert encoding.learn(units, alphabet, signs, read=[read]).letters[encoding.read_as("Ħ", "utf-8", read)] == "Ħ"  # extended to what no pair shows
+
+
+def test_very_long_words_and_runs(spark):
+    long = "x" * 150 + "għax" + "y" * 40_000
+    rows = CLEAN + [w.encode().decode("cp1252", "replace") for w in CLEAN] + [long, "Ä§" * 30, "ħ" * 30 + "ab", "Ä§" * 30 + "ab"]
+    df = spark.createDataFrame([("t", "f", i, x) for i, x in enumerate(rows)], "table_name string, field_name string, row_id long, text string")
+    back = {rows[r.row_id]: r.repaired for r in encoding.restored(df).collect()}
+    assert back["Ä§" * 30] == "ħ" * 30 and back["Ä§" * 30 + "ab"] == "ħ" * 30 + "ab" and long not in back
+
+
 # 3. Truncation
 
 
