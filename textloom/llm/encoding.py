@@ -122,9 +122,11 @@ def _may_be_garbled(sequence: str, alphabet: str) -> bool:
     """Whether a sequence can have come from a wrong decoding rather than from look-alike or invisible characters."""
     if LOST in sequence or "?" in sequence or all(c in alphabet or c == "…" for c in sequence):
         return False
-    # What is left without invisible characters, marks, blanks and wide forms must be strange, too.
+    # What is left without invisible characters, marks, blanks and wide forms must be strange, too; beside a clean letter also without look-alikes.
     rest = [c for c in sequence if unicodedata.category(c) not in ("Cf", "Mn", "Zs") and not "\uff00" <= c <= "\uffef"]
-    if not rest or all(c in alphabet or c == "…" for c in rest):
+    if any(c in alphabet for c in sequence):
+        rest = [c for c in rest if c not in LOOKALIKE and c not in alphabet and c != "…"]
+    if not rest:
         return False
     return len(sequence) > 1 or sequence not in LOOKALIKE
 
