@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textloom.session import table
 from textloom.llm import canonical, encoding, language, packing, personal, queries, spans, tokens, truncation
 
 DOC = "doc_id long, text string"
@@ -263,7 +265,8 @@ def test_personal_data(spark):
         "Ikteb lil a.borg (at) kitba dot invalid illum.": {"email"}, "Segwi lil @kitba_61 hawn.": set(), "Noqgħod 23, Triq il-Mogħża u tajjeb.": {"address"}, "Triq is-Serp hija twila.": set(), "Il-karta hi 0012345M kif mitlub.": {"id_number"},
         "Il-ħanut Borg u Wliedu.": set(), "I live at 106 Carob Lane now.": {"address"}, "Anna": set(), "L-ordni nru 1101455 waslet.": set(), "Ikteb lil ａnna@kitba.invalid illum.": {"email"},
     }
-    texts = seen + phones + codes + list(cases) + [None, "", "x" * 20_000]
+    mails = [f"Ikteb lil x{i}@kitba.invalid illum." for i in range(4)] + [f"I live at 10{i} Thistle Street now." for i in range(4)]
+    texts = seen + phones + codes + mails + list(cases) + [None, "", "x" * 20_000]
     df = spark.createDataFrame([("t", "f", i, t) for i, t in enumerate(texts)], "table_name string, field_name string, row_id long, text string")
     nl = spark.createDataFrame(names + [(None, None)], "surface string, payload string")
     found = personal.items(df, nl)
@@ -277,6 +280,38 @@ def test_personal_data(spark):
     assert personal.items(df.limit(0), nl).count() == 0
 
 
+HELD = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not Path(HELD).exists(), reason="the tables aren't there")
+def test_hidden_seeds_are_discovered(spark):
+    values = queries._p2_values(spark, HELD).where("text is not null")
+    found = personal.extract(values, {}).cache()
+    hide = F.pmod(F.xxhash64("row_id", "start"), F.lit(2)) == 0
+    hidden = found.where(F.col("seed").isNotNull() & ~F.col("at_end") & hide).select("kind", "seed", "table_name", "field_name", "row_id", "start")
+    got = personal.shaped(found.withColumn("seed", F.when(~hide, F.col("seed")))).withColumn("hit", F.lit(1)).select("table_name", "field_name", "row_id", "start", F.col("kind").alias("seed"), "hit").distinct()
+    recall = {r.seed: (r.n, r.hits / r.n) for r in hidden.join(got, ["table_name", "field_name", "row_id", "start", "seed"], "left").groupBy("seed").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits")).collect()}
+    assert set(recall) == {"email", "phone", "id_number", "address"} and all(share >= 0.9 for _, share in recall.values()), recall
+    values, names = queries._p2_values(spark, "/root/testdata/sf0.1").where("text is not null"), table(spark, HELD, "name_list")
+    pairs = lambda df: {(r.table_name, r.field_name, r.row_id) for r in df.where("kind = 'name'").collect()}
+    every, half = (pairs(personal.items(values, n)) for n in (names, names.where(F.pmod(F.xxhash64("surface"), F.lit(3)) > 0)))
+    assert len(every & half) >= 0.9 * len(every) and len(half - every) <= 0.02 * len(every), (len(every), len(half), len(every & half))
+
+
+def test_contexts_and_names_without_windows(spark):
+    names = [("Anna", "NAME"), ("Marku", "NAME"), ("Borg", "SNAME"), ("Vella", "SNAME"), ("Camill", "SNAME")]
+    seen = [f"Jisimni {a} {b} u nixtieq tweġiba." for a in ("Anna", "Marku") for b in ("Borg", "Vella", "Camill")]
+    cases = ["Jisimni Jo Borg u nixtieq tweġiba.", "İ hawn. Jisimni Zoroastru Pampalun u nixtieq tweġiba.", "Borg kiteb ittra.", "Jisimni " + "x" * 100 + " u nixtieq."]
+    texts = seen + cases
+    df = spark.createDataFrame([("t", "f", i, t) for i, t in enumerate(texts)], "table_name string, field_name string, row_id long, text string")
+    found = personal.items(df, spark.createDataFrame(names, "surface string, payload string"))
+    assert {texts[r.row_id] for r in found.where("kind = 'name'").collect()} == {*seen, *cases[:2]}
+    assert {r.kind: (r.seeded, r.discovered) for r in personal.evidence(found).collect()} == {"name": (6, 2)}
+    long = "word " + "y" * 200 + " 12345 " + "z" * 200 + " next. End"
+    assert personal.Contexts(long).around(206, 211) == ("L2 word " + "y" * 200, "L1 " + "y" * 200, "R1 " + "z" * 200, "R2 " + "z" * 200 + " next")
+    assert personal.Contexts("One two. 123 four").around(9, 12) == ("L2 ^ ^", "L1 ^", "R1 four", "R2 four $")
+
+
 # 5. Languages
 
 

@@ -52,6 +52,13 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(values, personal.items(values, table(spark, folder, "name_list")))
 
 
+def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items of each kind were seeds, and how many were discovered by patterns."""
+    from textloom.llm import personal
+
+    return personal.evidence(personal.items(_p2_values(spark, folder), table(spark, folder, "name_list")))
+
+
 def _p3_judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     from textloom.llm import truncation
 
@@ -153,6 +160,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p2_evidence, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
 
 ORACLE: dict[str, str] = {}
