@@ -110,16 +110,29 @@ def test_spans_equal_brute_force(spark, hot):
     texts |= {40: None, 41: "", 42: "." * 90, 43: "." * 75, 44: base[0], 45: base[0], 46: base[0] + "x", 47: "日" * 40}
     df = spark.createDataFrame(list(texts.items()), DOC).withColumn("doc", F.lit("clash"))
     pairs, cover = brute_pairs(texts, 30)
-    for broadcast_rows in (0, 100_000):
-        assert {tuple(r) for r in spans.shared_pairs(df, length=30, seed=12, hot=hot, broadcast_rows=broadcast_rows).collect()} == pairs
-    assert {r.doc_id: r.shared_chars for r in spans.shared_cover(df, length=30, seed=12, hot=hot).collect()} == cover
+    for broadcast_rows, very_hot in ((0, 1000), (100_000, 1)):
+        assert {tuple(r) for r in spans.shared_pairs(df, length=30, seed=12, hot=hot, very_hot=very_hot, broadcast_rows=broadcast_rows).collect()} == pairs
+        assert {r.doc_id: r.shared_chars for r in spans.shared_cover(df, length=30, seed=12, hot=hot, very_hot=very_hot).collect()} == cover
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
 def test_equal_hashes_are_compared(monkeypatch):
     monkeypatch.setattr(spans, "rolling", lambda codes, k: np.zeros(max(0, len(codes) - k + 1), np.uint64))
-    w = spans.Windows([1, 2, 3], [0, 0, 0], ["abcd", "abcd", "wxyz"], 4)
-    assert [sorted(d) for d in w.doc_sets()] == [[1, 2]]
+    w = spans.Windows(["abcd", "xabcdy", "wxyz"], 4)
+    assert sorted(w.members()) == [([0, 1], [(0, 0, 4), (1, 1, 5)])]
+
+
+def test_one_passage_in_very_many_records(spark):
+    random.seed(4)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = noise(60)
+    n = 20_000
+    df = spark.createDataFrame([(i, noise(8) + (passage if i % 100 else noise(60)) + noise(8)) for i in range(n)], DOC)
+    members = spans._members(spans._records(df, "doc_id", "text"), spans.copies(spans._records(df, "doc_id", "text"), 40), 40, 15, 50, 500, 100_000)
+    top = members.groupBy("gid").agg(F.count_distinct("doc").alias("k")).agg(F.max("k")).first()[0]
+    assert top == n - n // 100
+    cover = spans.shared_cover(df, length=40, seed=15, hot=50, very_hot=500)
+    assert cover.where("doc_id % 100 > 0 and shared_chars < 60 or doc_id % 100 = 0 and shared_chars > 0").count() == 0
 
 
 # 6. Canonical form

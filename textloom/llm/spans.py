@@ -2,14 +2,19 @@
 
 Every window of ``length`` characters has a minimiser: the least hash of the ``seed``-character strings in it.
 Consecutive windows with one minimiser form a super-k-mer, and equal windows have equal minimisers, so that they meet in
-the minimiser's bucket. Three steps keep the traffic small without losing a window:
+the minimiser's bucket. Steps that keep the traffic small without losing a window:
 
-1. Each super-k-mer sends its minimiser, record and place (no text). Minimisers seen in one record only are dropped.
-2. The super-k-mers left are cut out of their records as one packed string each and travel to their bucket.
-3. A bucket sorts the windows of its strings by a rolling hash and compares equal hashes as strings.
+1. Minimisers are counted (each worker combines its own); those seen in one record only are dropped.
+2. The super-k-mers left are cut out of their records as one packed string each. Equal strings are one class: a worker
+   sends a string on once, and for each place only the class, record and start.
+3. A bucket sorts the windows of its classes by a rolling hash, compares equal hashes as strings, and says which classes
+   have windows in common, as groups with members. Buckets with many super-k-mers are divided by a second minimiser,
+   which equal windows share as well; where even then a bucket has very many different strings, their windows are spread
+   by their digests instead.
+4. Members of a group are joined with the places of their classes. Pairs are made at the very end, by an equi-join.
 
-Exact copies of a text are found first by digest, and one record stands for them. Buckets with many super-k-mers are
-divided by a second minimiser of another order, which equal windows share as well.
+Exact copies of a text are found first by digest, and one record stands for them. Classes and groups are named by
+128-bit digests.
 
 Defined results: characters are code points, compared exactly; null and shorter texts share nothing; a span that
 repeats within one record only is not shared; repeated ids are taken for one record.
@@ -18,6 +23,7 @@ repeats within one record only is not shared; repeated ids are taken for one rec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +35,9 @@ from textloom.session import cut
 
 LENGTH = 200
 SEED = 80
-#: A bucket with more super-k-mers than this is divided by a second minimiser.
-HOT = 5_000
-#: Rows up to which the surviving places (about 40 bytes each) are broadcast; beyond, both sides are shuffled.
+#: A bucket with more super-k-mers than this is divided by a second minimiser; one with more different strings by windows.
+HOT, VERY_HOT = 20_000, 200_000
+#: Up to so many shared minimisers (9 bytes each) are sent to the workers; more are joined as a table.
 BROADCAST_ROWS = 500_000
 
 _BASE = np.uint64(6364136223846793005)
@@ -96,96 +102,164 @@ def super_kmers(seeds: np.ndarray, length: int, seed: int) -> tuple[np.ndarray,
     return least[starts], starts, np.diff(np.r_[starts, len(least)])
 
 
+def _grouped(texts: list[str | None], length: int) -> Iterator[list[int]]:
+    """Indices of texts that are long enough, so many at a time that they are hashed in one go."""
+    group: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if t is None or len(t) < length:
+            continue
+        if group and size + len(t) > _BLOCK:
+            yield group
+            group, size = [], 0
+        group.append(i)
+        size += len(t)
+    if group:
+        yield group
+
+
+def _super_kmers_of(texts: list[str], length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Minimiser, text, start and number of windows of the super-k-mers of some texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    first = ends - sizes
+    seeds = rolling(_codes("".join(texts)), seed)
+    least = sliding_min(seeds, length - seed + 1)
+    positions = np.arange(len(least))
+    owner = np.searchsorted(ends, positions, "right")
+    inside = positions + length <= ends[owner]
+    starts = np.flatnonzero(inside & np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+    # A run ends before the next start or the last window of its text.
+    after = np.minimum(np.r_[starts[1:], len(least)], ends[owner[starts]] - length + 1)
+    return least[starts].view(np.int64), owner[starts], starts - first[owner[starts]], after - starts
+
+
+def _minimisers(length: int, seed: int):
+    """(doc, text) -> (mini, a, b, k): minimisers with their least and greatest record, combined for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), strings(batch.column(1))
+            minis, owners = [], []
+            for group in _grouped(texts, length):
+                mini, owner, _, _ = _super_kmers_of([texts[i] for i in group], length, seed)
+                minis.append(mini)
+                owners.append(docs[np.array(group)][owner])
+            if not minis:
+                continue
+            mini, doc = np.concatenate(minis), np.concatenate(owners)
+            order = np.argsort(mini, kind="stable")
+            mini, doc = mini[order], doc[order]
+            bounds = np.flatnonzero(np.r_[True, mini[1:] != mini[:-1]])
+            columns = [mini[bounds], np.minimum.reduceat(doc, bounds), np.maximum.reduceat(doc, bounds), np.diff(np.r_[bounds, len(mini)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mini", "a", "b", "k"])
+
+    return run
+
+
 def _places(length: int, seed: int):
-    """(doc, text) -> (minimiser, doc, start, windows) of the super-k-mers; many short texts are hashed in one go."""
+    """(doc, text) -> (mini, doc, start, n) of the super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), strings(batch.column(1))
-            keep = [i for i, t in enumerate(texts) if t is not None and len(t) >= length]
-            at = 0
-            while at < len(keep):
-                group, size = [], 0
-                while at < len(keep) and (not group or size + len(texts[keep[at]]) <= _BLOCK):
-                    group.append(keep[at])
-                    size += len(texts[keep[at]])
-                    at += 1
-                sizes = np.array([len(texts[i]) for i in group], np.int64)
-                ends = np.cumsum(sizes)
-                first = ends - sizes
-                seeds = rolling(_codes("".join([texts[i] for i in group])), seed)
-                least = sliding_min(seeds, length - seed + 1)
-                positions = np.arange(len(least))
-                owner = np.searchsorted(ends, positions, "right")
-                inside = positions + length <= ends[owner]
-                starts = np.flatnonzero(inside & np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
-                # A run ends before the next start or the last window of its text.
-                after = np.minimum(np.r_[starts[1:], len(least)], ends[owner[starts]] - length + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(least[starts].view(np.int64)),
-                        pa.array(docs[np.array(group)][owner[starts]]),
-                        pa.array((starts - first[owner[starts]]).astype(np.int32)),
-                        pa.array((after - starts).astype(np.int32)),
-                    ],
-                    names=["mini", "doc", "start", "n"],
-                )
+            for group in _grouped(texts, length):
+                mini, owner, start, n = _super_kmers_of([texts[i] for i in group], length, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(docs[np.array(group)][owner]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "doc", "start", "n"])
 
     return run
 
 
-def _cut_out(length: int, seed: int):
-    """(doc, text, list of (mini, start, n, hot)) -> one packed string for each super-k-mer, hot ones divided once more."""
+_PARTS = pa.schema([("mini", pa.int64()), ("sub", pa.int64()), ("cls", pa.binary()), ("doc", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("part", pa.string())])
+_PARTS_DDL = "mini bigint, sub bigint, cls binary, doc bigint, start int, size int, part string"
+#: Classes that a worker remembers to have sent; beyond, it may send a string again.
+_REMEMBERED = 200_000
+
+
+class Packer:
+    """Rows of packed strings; the string itself stands in the first row of its class only."""
+
+    def __init__(self, length: int, seed: int) -> None:
+        self.length, self.seed, self.sent, self.rows = length, seed, set(), []
+
+    def add(self, doc: int, text: str, mini: int, start: int, n: int, hot: bool, second: list) -> None:
+        if not hot:
+            self._add(mini, 0, doc, start, text[start : start + n + self.length - 1])
+            return
+        if not second:
+            second.append(sliding_min(rolling(_codes(text), self.seed) * _SECOND ^ _MIX, self.length - self.seed + 1))
+        own = second[0][start : start + n]
+        cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), n]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            self._add(mini, int(own[a].view(np.int64)), doc, start + a, text[start + a : start + b + self.length - 1])
+
+    def _add(self, mini: int, sub: int, doc: int, start: int, part: str) -> None:
+        cls = blake2b(part.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        new = cls not in self.sent
+        if new:
+            if len(self.sent) >= _REMEMBERED:
+                self.sent.clear()
+            self.sent.add(cls)
+        self.rows.append((mini, sub, cls, doc, start, len(part), part if new else None))
+
+    def take(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.rows) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows), _PARTS)], schema=_PARTS)
+            self.rows = []
+
+
+def _cut_known(length: int, seed: int, known: np.ndarray, hot: np.ndarray):
+    """(doc, text) -> packed strings of the super-k-mers whose minimiser is among the sorted ``known`` ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(length, seed)
         for batch in batches:
-            rows: list[tuple] = []
-            bounds, flat = batch.column(2).offsets.to_pylist(), batch.column(2).flatten()
-            minis, starts, counts, hots = (flat.field(i).to_pylist() for i in range(4))
-            low = bounds[0]
-            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), strings(batch.column(1)))):
-                second = None
-                for k in range(bounds[i] - low, bounds[i + 1] - low):
-                    start, n = starts[k], counts[k]
-                    if not hots[k]:
-                        rows.append((minis[k], 0, doc, start, text[start : start + n + length - 1]))
-                        continue
-                    if second is None:
-                        second = sliding_min(rolling(_codes(text), seed) * _SECOND ^ _MIX, length - seed + 1)
-                    own = second[start : start + n]
-                    cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), n]
-                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        rows.append((minis[k], int(own[a].view(np.int64)), doc, start + a, text[start + a : start + b + length - 1]))
-                if len(rows) > 20_000:
-                    yield _packed(rows)
-                    rows = []
-            if rows:
-                yield _packed(rows)
+            docs, texts = batch.column(0).to_pylist(), strings(batch.column(1))
+            for group in _grouped(texts, length):
+                mini, owner, start, n = _super_kmers_of([texts[i] for i in group], length, seed)
+                at = np.minimum(np.searchsorted(known, mini), len(known) - 1)
+                kept = np.flatnonzero(known[at] == mini)
+                second: list = []
+                last = -1
+                for m, o, s, k, h in zip(mini[kept].tolist(), owner[kept].tolist(), start[kept].tolist(), n[kept].tolist(), hot[at[kept]].tolist()):
+                    if o != last:
+                        second, last = [], o
+                    packer.add(docs[group[o]], texts[group[o]], m, s, k, h, second)
+                yield from packer.take(20_000)
+        yield from packer.take()
 
     return run
 
 
-_PACKED = pa.schema([("mini", pa.int64()), ("sub", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("part", pa.string())])
+def _cut_out(length: int, seed: int):
+    """(doc, text, list of (mini, start, n, hot)) -> packed strings of these super-k-mers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(length, seed)
+        for batch in batches:
+            for doc, text, places in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
+                second: list = []
+                for p in places:
+                    packer.add(doc, text, p["mini"], p["start"], p["n"], p["hot"], second)
+                yield from packer.take(20_000)
+        yield from packer.take()
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
+    return run
 
 
 class Windows:
-    """All windows of some whole buckets, sorted by hash; equal windows of several records stand together.
+    """All windows of the classes of some whole buckets; equal windows of several classes stand together.
 
     Equal windows have one minimiser, so that sorting several buckets at once mixes none of them up.
     """
 
-    def __init__(self, docs: list[int], starts: list[int], parts: list[str], length: int) -> None:
+    def __init__(self, parts: list[str], length: int) -> None:
         self.length, self.text = length, "".join(parts)
         sizes = np.array([len(p) for p in parts], np.int64)
-        ends = np.cumsum(sizes)
-        first = ends - sizes
+        self.first = np.cumsum(sizes) - sizes
         counts = np.maximum(sizes - length + 1, 0)
         owner = np.repeat(np.arange(len(parts)), counts)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[owner]
         hashes = rolling(_codes(self.text), length)[at]
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
@@ -194,88 +268,113 @@ class Windows:
         order, new = order[repeated], new[repeated]
         self.at, self.row = at[order], owner[order]
         self.group = np.cumsum(new) - 1
-        self.doc = np.array(docs, np.int64)[self.row]
-        self.start = np.array(starts, np.int64)[self.row] + self.at - first[self.row]
-        bounds = np.flatnonzero(new)
-        if len(bounds):
-            shared = (np.minimum.reduceat(self.doc, bounds) != np.maximum.reduceat(self.doc, bounds))[self.group]
-            self.at, self.row, self.group, self.doc, self.start = (x[shared] for x in (self.at, self.row, self.group, self.doc, self.start))
-
-    def string(self, k: int) -> str:
-        return self.text[self.at[k] : self.at[k] + self.length]
-
-    def doc_sets(self) -> Iterator[list[int]]:
-        """The sets of records with a window in common, each once, after comparing that window's strings."""
+        self._compare(np.flatnonzero(new))
+        self._drop_single()
+
+    def _compare(self, bounds: np.ndarray) -> None:
+        """Compares each window with the first of its group, many consecutive ones at a time; equal hashes of others are told apart."""
+        if not len(bounds):
+            return
+        begin = self.at[bounds][self.group]
+        order = np.argsort(self.at, kind="stable")
+        at, begin = self.at[order], begin[order]
+        cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (begin[1:] != begin[:-1] + 1)])
+        lasts = np.r_[cuts[1:], len(at)] - 1
+        text, length = self.text, self.length
+        wrong = [(i, j) for i, j in zip(cuts.tolist(), lasts.tolist()) if at[i] != begin[i] and text[at[i] : at[j] + length] != text[begin[i] : begin[j] + length]]
+        differ = [k for i, j in wrong for k in range(i, j + 1) if text[at[k] : at[k] + length] != text[begin[k] : begin[k] + length]]
+        if differ:
+            groups = np.unique(self.group[order[np.array(differ)]])
+            number = int(self.group.max()) + 1
+            named: dict[tuple[int, str], int] = {}
+            for k in np.flatnonzero(np.isin(self.group, groups)).tolist():
+                name = (int(self.group[k]), text[self.at[k] : self.at[k] + length])
+                self.group[k] = named.setdefault(name, number + len(named))
+            order = np.argsort(self.group, kind="stable")
+            self.at, self.row, self.group = self.at[order], self.row[order], self.group[order]
+
+    def _drop_single(self) -> None:
+        """Groups within one class say nothing."""
+        if len(self.at):
+            bounds = np.flatnonzero(np.r_[True, self.group[1:] != self.group[:-1]])
+            which = np.cumsum(np.r_[False, self.group[1:] != self.group[:-1]])
+            shared = (np.minimum.reduceat(self.row, bounds) != np.maximum.reduceat(self.row, bounds))[which]
+            self.at, self.row, self.group = self.at[shared], self.row[shared], self.group[shared]
+
+    def members(self) -> Iterator[tuple[list[int], list[tuple[int, int, int]]]]:
+        """Each set of classes that have windows in common, with the stretches (class, start, end) of these windows."""
         if not len(self.at):
             return
-        order = np.lexsort((self.doc, self.group))
-        group, doc = self.group[order], self.doc[order]
-        once = np.r_[True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])]
-        order, group, doc = order[once], group[once], doc[once]
+        order = np.lexsort((self.row, self.group))
+        group, row = self.group[order], self.row[order]
+        once = np.r_[True, (group[1:] != group[:-1]) | (row[1:] != row[:-1])]
+        group, row = group[once], row[once]
         bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         ends = np.r_[bounds[1:], len(group)]
-        _, chosen, of = np.unique(np.add.reduceat(_scatter(doc), bounds), return_index=True, return_inverse=True)
-        failed = []
+        names = np.stack([np.add.reduceat(_scatter(row), bounds), np.add.reduceat(_scatter(row * 7919 + 3), bounds)], axis=1)
+        _, chosen, of = np.unique(names, axis=0, return_index=True, return_inverse=True)
+        which = of.ravel()[np.cumsum(np.r_[False, self.group[1:] != self.group[:-1]])]
+        order = np.lexsort((self.at, which))
+        which, at, own = which[order], self.at[order], self.row[order]
+        cuts = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])])
+        lasts = np.r_[cuts[1:], len(at)] - 1
+        starts = at[cuts] - self.first[own[cuts]]
+        stretches = list(zip(own[cuts].tolist(), starts.tolist(), (starts + at[lasts] - at[cuts] + self.length).tolist()))
+        edges = np.searchsorted(which[cuts], np.arange(len(chosen) + 1)).tolist()
         for number, g in enumerate(chosen.tolist()):
-            members = order[bounds[g] : ends[g]].tolist()
-            if len({self.string(k) for k in members}) == 1:
-                yield doc[bounds[g] : ends[g]].tolist()
-            else:
-                failed.append(number)
-        for g in np.flatnonzero(np.isin(of, failed)).tolist():  # equal hashes of different strings
-            same: dict[str, list[int]] = {}
-            for k in order[bounds[g] : ends[g]].tolist():
-                same.setdefault(self.string(k), []).append(int(self.doc[k]))
-            yield from (docs for docs in same.values() if len(docs) > 1)
-
-    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Record, start and end of the runs of shared windows of each packed string."""
-        order = np.lexsort((self.start, self.row))
-        row, start, doc = self.row[order], self.start[order], self.doc[order]
-        new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)][: len(row)]
-        bounds = np.flatnonzero(new)
-        last = np.r_[bounds[1:], len(row)][: len(bounds)] - 1
-        return doc[bounds], start[bounds], start[last] + self.length
-
-
-_FOUND = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+            yield row[bounds[g] : ends[g]].tolist(), stretches[edges[number] : edges[number + 1]]
+
+
+_FOUND = pa.schema([("gid", pa.binary()), ("cls", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+_FOUND_DDL = "gid binary, cls binary, low int, high int"
 #: Characters of whole buckets that are sorted in one go.
 _AT_ONCE = 1 << 20
 
 
-def _found(docs: list[int], starts: list[int], parts: list[str], length: int, want_pairs: bool) -> pa.RecordBatch:
-    windows = Windows(docs, starts, parts, length)
-    if want_pairs:
-        pairs = sorted({(a, b) for group in windows.doc_sets() for i, a in enumerate(group) for b in group[i + 1 :]})
-        x = np.array(pairs, np.int64).reshape(-1, 2)
-        columns = [x[:, 0], x[:, 1], np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)]
-    else:
-        doc, start, end = windows.stretches()
-        columns = [doc, np.zeros(len(doc), np.int64), start, end]
-    return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+def _found(classes: list[bytes], parts: list[str], length: int) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for members, stretches in Windows(parts, length).members():
+        gid = blake2b(b"".join(sorted(classes[m] for m in members)), digest_size=16).digest()
+        rows += [(gid, classes[m], low, high) for m, low, high in stretches]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
 
-def _buckets(length: int, want_pairs: bool):
-    """Rows sorted by bucket -> what their shared windows say; whole buckets are taken together up to a size."""
+def _buckets(length: int):
+    """(mini, sub, cls, part) sorted so -> groups; whole buckets are taken together up to a size, each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, size = None, 0
-        docs: list[int] = []
-        starts: list[int] = []
+        key, last, size = None, None, 0
+        classes: list[bytes] = []
         parts: list[str] = []
         for batch in batches:
-            for mini, sub, doc, start, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for mini, sub, cls, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (mini, sub) != key:
-                    key = (mini, sub)
+                    key, last = (mini, sub), None
                     if size > _AT_ONCE:
-                        yield _found(docs, starts, parts, length, want_pairs)
-                        docs, starts, parts, size = [], [], [], 0
-                docs.append(doc)
-                starts.append(start)
-                parts.append(part)
-                size += len(part)
+                        yield from _found(classes, parts, length)
+                        classes, parts, size = [], [], 0
+                if cls != last:
+                    last = cls
+                    classes.append(cls)
+                    parts.append(part)
+                    size += len(part)
         if parts:
-            yield _found(docs, starts, parts, length, want_pairs)
+            yield from _found(classes, parts, length)
+
+    return run
+
+
+def _each_window(length: int):
+    """(mini, sub, cls, part) -> every window of the string as a group named by its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, part in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                n = len(part) - length + 1
+                names = [blake2b(part[i : i + length].encode("utf-8", "surrogatepass"), digest_size=16, person=b"window").digest() for i in range(n)]
+                at = np.arange(n, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([cls] * n, pa.binary()), pa.array(at), pa.array(at + np.int32(length))], schema=_FOUND)
 
     return run
 
@@ -287,43 +386,66 @@ def copies(docs: DataFrame, length: int) -> DataFrame:
     return cut(keyed.join(several, "digest").select("rep", "doc").distinct())
 
 
-def _survivors(docs: DataFrame, same: DataFrame, length: int, seed: int, hot: int, broadcast_rows: int, want_pairs: bool) -> DataFrame:
-    rest = docs
+def _members(docs: DataFrame, same: DataFrame, length: int, seed: int, hot: int, very_hot: int, broadcast_rows: int) -> DataFrame:
+    """(gid, doc, start, end): stretches of records and the group of records that share each; a group may be of one record."""
+    rest = docs.select("doc", "text")
     removed = same.where("doc <> rep").select("doc")
     if (n := removed.limit(broadcast_rows + 1).count()) > 0:
-        rest = docs.join(F.broadcast(removed) if n <= broadcast_rows else removed, "doc", "left_anti")
-    places = rest.select("doc", "text").mapInArrow(_places(length, seed), "mini bigint, doc bigint, start int, n int")
-    places = places.repartition("mini")
-    shared = places.groupBy("mini").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("k")).where("a < b").select("mini", (F.col("k") > hot).alias("hot"))
-    kept = cut(places.join(shared.hint("shuffle_hash"), "mini"))
-    by_doc = kept.groupBy("doc").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("places"))
-    few = kept.limit(broadcast_rows + 1).count() <= broadcast_rows
-    parts = docs.select("doc", "text").join(F.broadcast(by_doc) if few else by_doc, "doc").select("doc", "text", "places")
-    parts = parts.mapInArrow(_cut_out(length, seed), "mini bigint, sub bigint, doc bigint, start int, part string")
-    buckets = parts.repartition("mini", "sub").sortWithinPartitions("mini", "sub")
-    return buckets.mapInArrow(_buckets(length, want_pairs), "doc bigint, other bigint, start int, end int")
+        rest = rest.join(F.broadcast(removed) if n <= broadcast_rows else removed, "doc", "left_anti")
+    counted = rest.mapInArrow(_minimisers(length, seed), "mini bigint, a bigint, b bigint, k bigint")
+    shared = cut(counted.groupBy("mini").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("k").alias("k")).where("a < b").select("mini", "k"))
+    few = shared.limit(broadcast_rows + 1).collect()
+    if not few:
+        return docs.sparkSession.createDataFrame([], "gid binary, doc bigint, start int, end int")
+    if len(few) <= broadcast_rows:
+        few.sort()
+        known = np.array([r["mini"] for r in few], np.int64)
+        parts = rest.mapInArrow(_cut_known(length, seed, known, np.array([r["k"] > hot for r in few])), _PARTS_DDL)
+    else:
+        places = rest.mapInArrow(_places(length, seed), "mini bigint, doc bigint, start int, n int")
+        kept = places.join(shared.select("mini", (F.col("k") > hot).alias("hot")), "mini")
+        by_doc = kept.groupBy("doc").agg(F.collect_list(F.struct("mini", "start", "n", "hot")).alias("places"))
+        parts = rest.join(by_doc, "doc").select("doc", "text", "places").mapInArrow(_cut_out(length, seed), _PARTS_DDL)
+    parts = cut(parts)
+    strings_of = parts.where("part is not null").select("mini", "sub", "cls", "part")
+    spread = None
+    if shared.where(F.col("k") > very_hot).limit(1).count():
+        crowded = cut(strings_of.groupBy("mini", "sub").agg(F.count("*").alias("k")).where(F.col("k") > very_hot).select("mini", "sub"))
+        spread = strings_of.join(crowded, ["mini", "sub"], "left_semi").mapInArrow(_each_window(length), _FOUND_DDL).distinct()
+        strings_of = strings_of.join(crowded, ["mini", "sub"], "left_anti")
+    buckets = strings_of.repartition("mini", "sub").sortWithinPartitions("mini", "sub", "cls")
+    groups = buckets.mapInArrow(_buckets(length), _FOUND_DDL)
+    if spread is not None:
+        groups = groups.unionByName(spread)
+    # A class of several records is a group of its own.
+    several = parts.groupBy("cls").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("size").alias("high")).where("a < b")
+    groups = groups.unionByName(several.select(F.col("cls").alias("gid"), "cls", F.lit(0).alias("low"), "high"))
+    return groups.join(parts.select("cls", "doc", F.col("start").alias("at")), "cls").select("gid", "doc", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("end"))
 
 
 def _records(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text"))
 
 
-def shared_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def shared_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, very_hot: int = VERY_HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b, of records with a common run of at least ``length`` characters."""
     rows = _records(docs, id_column, text_column)
     same = copies(rows, length)
-    found = _survivors(rows, same, length, seed, hot, broadcast_rows, True).select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
+    members = cut(_members(rows, same, length, seed, hot, very_hot, broadcast_rows).select("gid", "doc").distinct())
+    found = members.alias("p").join(members.alias("q"), F.expr("p.gid = q.gid and p.doc < q.doc")).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
     left, right = same.select(F.col("rep").alias("a"), F.col("doc").alias("x")), same.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
     across = found.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     within = same.alias("p").join(same.alias("q"), F.expr("p.rep = q.rep and p.doc < q.doc")).select(F.col("p.doc").alias("x"), F.col("q.doc").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def shared_cover(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def shared_cover(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, very_hot: int = VERY_HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, n_chars, shared_chars, share, spans) of every record; spans are the stretches that stand elsewhere too."""
     rows = _records(docs, id_column, text_column)
     same = copies(rows, length)
-    found = _survivors(rows, same, length, seed, hot, broadcast_rows, False)
+    members = cut(_members(rows, same, length, seed, hot, very_hot, broadcast_rows))
+    real = members.groupBy("gid").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gid")
+    found = members.join(real, "gid", "left_semi").select("doc", "start", "end").distinct()
     # A record's stretches of all its buckets are put together where they meet or overlap.
     order = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
