@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,14 +61,43 @@ _HOUSE = r"\d{1,4}[A-Za-z]?(?:/\d{1,4}[A-Za-z]?)?(?!\w)"
 _FLAT = rf"(?:flat|fl\.?|apt\.?|appartament) ?{_HOUSE},? ?(?:(?:blokk|block) ?\w{{1,3}},? ?)?"
 #: A house number before a word and a name, after them, and before capitalised words; the word for the street may be any.
 ADDRESS = {
-    "front": re.compile(rf"(?<![\w/-])(?=(?P<all>(?i:{_FLAT}|{_HOUSE}),? ?(?:{_HOUSE},? )?(?P<t>[^\W\d_]{{3,}}) (?P<s>(?i:{_STREET}))))"),
-    "back": re.compile(rf"(?<![\w/-])(?=(?P<all>(?P<t>[^\W\d_]{{3,}}) (?P<s>(?i:{_STREET})),? (?i:nru\.?|numru|no\.?|n\.|n°)? ?{_HOUSE}))"),
-    "title": re.compile(rf"(?<![\w/-])(?=(?P<all>{_HOUSE},? (?P<s>(?:[A-ZĦĊĠŻ][\w']+ ){{1,3}}?)(?P<t>[A-ZĦĊĠŻ][^\W\d_]+)\b\.?))"),
+    "front": re.compile(rf"(?i:{_FLAT}|{_HOUSE}),? ?(?:{_HOUSE},? )?(?P<t>[^\W\d_]{{3,}}) (?P<s>(?i:{_STREET}))"),
+    "back": re.compile(rf"(?P<t>[^\W\d_]{{3,}}) (?P<s>(?i:{_STREET})),? (?i:nru\.?|numru|no\.?|n\.|n°)? ?{_HOUSE}"),
+    "title": re.compile(rf"{_HOUSE},? (?P<s>(?:[A-ZĦĊĠŻ][\w']+ ){{1,3}}?)(?P<t>[A-ZĦĊĠŻ][^\W\d_]+)\b\.?"),
 }
+_house = re.compile(r"(?<![\w/-])\d{1,4}(?!\d)")
+_flat = re.compile(r"(?<![\w/-])(?:flat|fl\.?|apt\.?|appartament) ?\Z", re.I)
+_name_part = re.compile(r"[^\W\d_]+")
+#: What may stand between the words of a street's name and its number.
+_between = re.compile(r"(?:,? |['’-]|\.|\. |° ?)\Z")
+
+
+def addresses(text: str) -> Iterator[tuple[str, re.Match]]:
+    """Candidates (shape, match) around each number of up to four digits."""
+    parts = None
+    for m in _house.finditer(text):
+        i = m.start()
+        flat = _flat.search(text, max(0, i - 13), i)  # its longest word has eleven letters
+        at = i - len(flat.group()) if flat else i
+        for shape in ("front", "title"):
+            if found := ADDRESS[shape].match(text, at if shape == "front" else i):
+                yield shape, found
+        parts = [(p.start(), p.end()) for p in _name_part.finditer(text)] if parts is None else parts
+        end = i
+        for k in range(bisect_right(parts, (i, 0)) - 1, -1, -1):
+            low, high = parts[k]
+            if high > end or not (high == end or _between.match(text[high:end])):
+                break
+            end = low
+            if (found := ADDRESS["back"].match(text, low)) and found.end() > i:
+                yield "back", found
+
+
 _token = re.compile(r"[^\W\d_]+")
 _words = re.compile(r"[^\W_]+")
 _sentence = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\"'(\[+]*[^\W_])")
-_tail = re.compile(r"[\s.…\"'\\&#]*$")
+_TAIL = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + ".…\"'\\&#"
+_digit = re.compile(r"\d")
 _suspect = re.compile("[^\x00-\x7fħġċżĦĠĊŻàèìòùÀÈÌÒÙéÉ…]")
 
 
@@ -119,7 +149,11 @@ class Contexts:
     def __init__(self, text: str) -> None:
         found = [(m.start(), m.end(), m.group()) for m in _words.finditer(lowered(text))]
         self.starts, self.ends, self.words = ([x[k] for x in found] for k in range(3))
-        self.breaks = [m.end() for m in _sentence.finditer(text)]
+        self.text = text
+
+    @cached_property
+    def breaks(self) -> list[int]:
+        return [m.end() for m in _sentence.finditer(self.text)]
 
     def around(self, start: int, end: int) -> tuple[str, str, str, str]:
         """Two words and one to the left, one and two to the right, within the sentence, however far they are."""
@@ -156,7 +190,7 @@ def _pairs(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str, st
 def candidates(text: str, names: dict[str, str]) -> list[tuple]:
     """(kind, start, end, key, other, shape, seed, at_end, L2, L1, R1, R2) of a readable text."""
     out, taken = [], []
-    closed = len(text) - len(_tail.search(text).group())
+    closed = len(text.rstrip(_TAIL))
     around = None
 
     def add(kind: str, start: int, end: int, key: str, other: str, shape: str, seed: str | None) -> None:
@@ -171,14 +205,13 @@ def candidates(text: str, names: dict[str, str]) -> list[tuple]:
             taken.append(m.span())
             sign = re.sub(r"[^\W\d_]+(?=\W*$)", "", _first_at.search(m.group()).group())
             add("email", *m.span(), re.sub(r"\s", "", re.sub(_DOT, ".", domain.group(1).lower())) if domain else "", "", f"email{sign}", "email" if _plain_mail.fullmatch(m.group()) else None)
-    if any(c.isdigit() for c in text):
-        for shape, pattern in ADDRESS.items():
-            for m in pattern.finditer(text):
-                kind = m["t"].lower()
-                seed = "address" if kind in SEED_TYPES else None
-                if seed:
-                    taken.append(m.span("all"))
-                add("address", *m.span("all"), kind, m["s"].strip().lower(), shape, seed)
+    if _digit.search(text):
+        for shape, m in addresses(text):
+            kind = m["t"].lower()
+            seed = "address" if kind in SEED_TYPES else None
+            if seed:
+                taken.append(m.span())
+            add("address", *m.span(), kind, m["s"].strip().lower(), shape, seed)
         for m in NUMBER.finditer(text):
             if not any(a < m.end() and m.start() < b for a, b in taken):
                 s = m.group()
@@ -224,14 +257,19 @@ _name_after = re.compile(r"[\W_]{0,3}?(?P<a>[^\W\d_]{2,})(?P<gap>, | (?:[^\W\d_]
 def _in_patterns(lefts: frozenset[str] | None):
     """Name-like pairs after the given left contexts (all if None), and a row without one where nothing name-like follows."""
 
+    lasts = None if lefts is None else frozenset(left.rpartition(" ")[2] for left in lefts)
+
     def judge(text: str) -> list[tuple]:
+        out: list[tuple] = []
+        if lasts is not None and lasts.isdisjoint(_words.findall(lowered(text))):
+            return out
         around = Contexts(text)
-        out = []
-        closed = len(text) - len(_tail.search(text).group())
-        for i in range(len(around.words) - 1):
+        closed = len(text.rstrip(_TAIL))
+        for i, word in enumerate(around.words[:-1]):
+            if lasts is not None and word not in lasts:
+                continue
             at = around.ends[i]
-            l2 = f"L2 {around.words[i - 1] if i else '^'} {around.words[i]}"
-            if lefts is not None and l2 not in lefts and f"L2 ^ {around.words[i]}" not in lefts:
+            if lefts is not None and f"L2 {around.words[i - 1] if i else '^'} {word}" not in lefts and f"L2 ^ {word}" not in lefts:
                 continue
             if not text[at : at + 1] or around.starts[i + 1] - at > 2:
                 continue
