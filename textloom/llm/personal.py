@@ -324,6 +324,15 @@ def score(items: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     return current, scored
 
 
+def _within_reach(combos: DataFrame) -> DataFrame:
+    """Candidates that the graph can reach from seeds: of street addresses, the kinds that stand in two words of context of a seed at least once."""
+    streets = F.col("kind") == "address"
+    sides = F.explode(F.filter(F.array("l2", "r2"), lambda c: ~c.isin(*_EDGES))).alias("context")
+    near = combos.where(streets & F.col("seed").isNotNull()).select(sides).distinct()
+    reached = combos.where(streets).select("key", sides).join(near, "context", "left_semi").select("key").distinct()
+    return combos.where(~streets).unionByName(combos.where(streets).join(reached, "key", "left_semi").select(combos.columns))
+
+
 def _same(left: str, right: str, columns: tuple[str, ...]):
     return F.expr(" and ".join(f"{left}.{c} <=> {right}.{c}" for c in columns))
 
@@ -331,7 +340,7 @@ def _same(left: str, right: str, columns: tuple[str, ...]):
 def shaped(found: DataFrame) -> DataFrame:
     """E-mail addresses, numbers and street addresses: candidates that the graph accepts, and at the end of an open text those whose parts it knows."""
     rows = found.where("kind <> 'name'").withColumn("seed", F.when(~F.col("at_end"), F.col("seed")))
-    combos = cut(rows.where("not at_end").groupBy(*_COMBO).agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    combos = cut(_within_reach(rows.where("not at_end").groupBy(*_COMBO).agg(F.count("*").alias("n"))).withColumn("id", F.monotonically_increasing_id()))
     scored, _ = score(combos)
     own = F.array_sort(F.filter(F.array(*[F.struct((-F.col(f"c_{k}")).alias("c"), F.lit(i).alias("i"), F.lit(k).alias("decided"), (F.col(f"c_{k}") >= at).alias("good")) for i, (k, at) in enumerate(ACCEPT.items())]), lambda x: x["good"]))
     best = cut(scored.withColumn("own", own).where(F.size("own") > 0).select(*_COMBO, "n", F.get("own", F.lit(0))["decided"].alias("decided")))
