@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import check, evidence, grammar, ngrams, rows, similarity, suffixes
+from textloom.operators import articles, check, evidence, grammar, ngrams, rows, similarity, suffixes
 from textloom.plans import corpus, words
 from textloom.streaming import choices
 
@@ -138,6 +138,33 @@ def test_grammar_queries_have_all_features(spark, tmp_path):
     assert texts[2, 1] == "tixtri" and texts[1, 1] == "nixtri" and texts[3, 1] == "aħmar"
 
 
+def test_spans_that_overlap_only_a_dropped_one_count(spark):
+    tokens = spark.createDataFrame([(d, i, w) for d in (1, 2) for i, w in enumerate("abcde")], "doc_id long, pos int, word string")
+    found = spark.createDataFrame([(1, "VERB_VERB_PERSON_NUMBER", 0, 2, "B A"), (1, "VERB_VERB_PERSON_NUMBER", 1, 3, "C B"), (1, "VERB_VERB_PERSON_NUMBER", 2, 4, "D C")], "doc_id long, rule_id string, start int, end int, suggestion string")
+    got = {d: [r.word for r in grammar.rewrite(tokens, found).where(f"doc_id = {d}").orderBy("pos").collect()] for d in (1, 2)}
+    assert got == {1: ["B", "A", "D", "C", "e"], 2: list("abcde")}
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate(["ta", "l", "fil", "dar"])], "doc_id long, pos int, word string")
+    targets = spark.createDataFrame([("fil",), ("dar",)], "word string")
+    assert [(r.pos, r.used) for r in articles.phrases(words, targets).orderBy("pos").collect()] == [(0, 3)]
+    assert grammar.rewrite(tokens, found.limit(0)).count() == 10
+
+
+def test_suffix_conditions(spark):
+    from textloom.operators import suffixes
+
+    assert len(suffixes.SUFFIXES) == 40 and len({r[0] for r in suffixes.SUFFIXES}) == 40
+    rows = [("kiteb", "PERF", "3SM", "ktb", "F1_NORMAL", "", False, False), ("nisraq", "MPERF", "1S", "srq", "F1_MEDIAL_LIQUID_OR_GUTTURAL", "", False, False), ("ħalla", "PERF", "3SM", "ħlj", "FINAL_WEAK", "", True, False), ("nesejna", "PERF", "1P", "nsj", "FINAL_WEAK", "", True, False), ("ħa", "PERF", "3SM", "'ħd", "OTHER", "", False, False), ("nkiteb", "PERF", "3SM", "ktb", "OTHER", "", False, True), ("insa", "IMP", "2S", "nsj", "FINAL_WEAK", "", True, False)]
+    records = spark.createDataFrame([(w, w, *r) for w, *r in rows], "word string, raw_tag string, tense string, person string, root string, root_class string, stem_kind string, final_weak boolean, object_blocked boolean")
+    made = {}
+    for r in suffixes.generate(records).collect():
+        made.setdefault((r.word, r.label), set()).add(r.surface)
+    assert made["kiteb", "DO_1S"] == {"kitebni", "kitibni"} and made["kiteb", "DO_3SM"] == {"kitebu", "kitbu"} and "kitbilhom" in made["kiteb", "IDO_3P"] and "kitbilhom" not in made["kiteb", "DO_3P"]
+    assert "nisirqu" in made["nisraq", "DO_3SM"] and "nisirqilhom" in made["nisraq", "IDO_3P"] and "nisirqlu" in made["nisraq", "IDO_3SM"]
+    assert "ħalliek" in made["ħalla", "DO_2S"] and made["nesejna", "DO_3P"] == {"nesejniehom"} and made["ħa", "DO_3P"] == {"ħadhom"}
+    assert ("nkiteb", "DO_1S") not in made and made["nkiteb", "IDO_1S"] and made["insa", "DO_3P"] >= {"insihom", "nsihom", "insgħuhom"}
+    assert suffixes.generate(records.limit(0)).count() == 0
+
+
 def test_records_by_anchors_of_guesses_and_near_ones(spark):
     records = spark.createDataFrame([("kiteb", "T-ktb", False, "ktb"), ("qata", "T-qt", False, "qt")], "word string, raw_tag string, object_blocked boolean, anchor string")
     typed = spark.createDataFrame([("kidibhom",), ("qatagħhom",), ("kitibhom",)], "word string")

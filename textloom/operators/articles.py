@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import VOWELS, ascii_key, key
+from textloom.operators.grammar import first_of_overlapping
 
 #: Letters that the article takes on, and the prepositions with their form before such a letter and a vowel.
 SUN = "ċdnrstxżz"
@@ -89,9 +90,8 @@ def phrases(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     corrected = F.when(three, preposition(apart, F.col("norm2"))).when(two & is_article, definite(F.col("norm1"), F.col("before"), F.col("norm"))).when(two, preposition(prefix, F.col("norm1")))
     hits = rows.withColumn("corrected", corrected).withColumn("used", F.when(three, 3).otherwise(2)).where("corrected is not null")
     hits = hits.withColumn("original", F.concat_ws(" ", "word", "word1", F.when(F.col("used") == 3, F.col("word2"))))
-    # A match within three tokens after another that counts is dropped, as its words are used.
-    last = F.lag(F.col("pos") + F.col("used")).over(w)
-    return hits.withColumn("free_from", last).where("free_from is null or pos >= free_from").select("doc_id", "pos", "used", "original", "corrected")
+    spans = hits.select("doc_id", "pos", (F.col("pos") + F.col("used")).alias("to"), "used", "original", "corrected")
+    return first_of_overlapping(spans, start="pos", end="to").drop("to")
 
 
 def hyphenated(words: DataFrame, targets: DataFrame) -> DataFrame:

@@ -182,10 +182,22 @@ def analyze(tokens: DataFrame, features: DataFrame, person_variants: DataFrame |
     return reduce(DataFrame.unionByName, found)
 
 
+def first_of_overlapping(spans: DataFrame, key: str = "doc_id", start: str = "start", end: str = "end") -> DataFrame:
+    """Of spans that overlap within a text the first counts; one that overlaps only a dropped one counts, too.
+
+    The spans of a text are folded from the left with the end of the last one that counts.
+    """
+    order = [start, end, *[c for c in spans.columns if c not in (key, start, end)]]
+    rows = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("every"))
+    nothing = F.struct(F.lit(-1).cast("bigint").alias("last"), F.slice("every", 1, 0).alias("kept"))
+    take = lambda s, x: F.struct(x[end].cast("bigint").alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))
+    folded = F.aggregate("every", nothing, lambda s, x: F.when(x[start] >= s["last"], take(s, x)).otherwise(s), lambda s: s["kept"])
+    return rows.select(key, F.explode(folded).alias("span")).select(key, "span.*").select(spans.columns)
+
+
 def rewrite(tokens: DataFrame, findings: DataFrame, rules: tuple[str, ...] = ("VERB_VERB_PERSON_NUMBER",)) -> DataFrame:
     """Tokens with the suggestions of safe rules in the place of their spans; of spans that overlap the first counts (WIN-13)."""
-    spans = findings.where(F.col("rule_id").isin(*rules) & F.col("suggestion").isNotNull())
-    w = Window.partitionBy("doc_id").orderBy("start", "end", "suggestion")
-    spans = spans.withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("before is null or start >= before")
+    spans = findings.where(F.col("rule_id").isin(*rules) & F.col("suggestion").isNotNull()).select("doc_id", "start", "end", "suggestion")
+    spans = first_of_overlapping(spans)
     new = spans.select("doc_id", F.posexplode(F.split("suggestion", " ")).alias("k", "new"), "start").select("doc_id", (F.col("start") + F.col("k")).alias("pos"), "new")
     return tokens.join(new, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("new", "word").alias("word"))

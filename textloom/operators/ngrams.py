@@ -93,12 +93,13 @@ def stats(lines: DataFrame, file: str = "file", line_no: str = "line_no", line:
 def score(candidates: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame | None = None, most: float = 0.25, shadow: bool = False) -> DataFrame:
     """Candidates(word, prev, next, prev_prev) with ``bonus`` from how frequent the word and its neighbours are (RNK-1).
 
-    Each share is the log frequency over the largest one, within 0 and 1. The largest is one number.
+    Each share is the log frequency over the largest one, within 0 and 1; the largest is an aggregate of one row in the plan.
     """
-    top = uni.agg(F.max("log_freq")).first()[0] or 1.0
+    top = uni.agg(F.coalesce(F.max("log_freq"), F.lit(1.0)).alias("_top"))
     low = lambda c: F.lower(F.btrim(F.col(c)))
-    part = lambda c, w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)) / F.lit(top))) * F.lit(most * w)
+    part = lambda c, w: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)) / F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top")))) * F.lit(most * w)
     rows = candidates.withColumns({"_w": low("word"), "_p": low("prev"), "_n": low("next"), "_pp": low("prev_prev")})
+    rows = rows.crossJoin(F.broadcast(top))  # one row
     rows = rows.join(uni.select(F.col("w1").alias("_w"), F.col("log_freq").alias("_u")), "_w", "left")
     rows = rows.join(bi.select(F.col("w1").alias("_p"), F.col("w2").alias("_w"), F.col("log_freq").alias("_b")), ["_p", "_w"], "left")
     rows = rows.join(bi.select(F.col("w1").alias("_w"), F.col("w2").alias("_n"), F.col("log_freq").alias("_f")), ["_w", "_n"], "left")
@@ -107,7 +108,7 @@ def score(candidates: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame |
         rows = rows.join(tri.select(F.col("w1").alias("_pp"), F.col("w2").alias("_p"), F.col("w3").alias("_w"), F.col("log_freq").alias("_t")), ["_pp", "_p", "_w"], "left")
         parts.append(part("_t", 0.2))
     bonus: Column = F.lit(0.0) if shadow else F.round(F.least(F.lit(most), reduce(lambda a, b: a + b, parts)), 4)
-    return rows.withColumn("bonus", bonus).drop("_w", "_p", "_n", "_pp", "_u", "_b", "_f", "_t")
+    return rows.withColumn("bonus", bonus).drop("_w", "_p", "_n", "_pp", "_u", "_b", "_f", "_t", "_top")
 
 
 def export(uni: DataFrame, bi: DataFrame, tri: DataFrame, folder: str, overwrite: bool = False) -> None:

@@ -1,7 +1,7 @@
 """Similarity joins of words (JOIN-7, JOIN-8): blocking by equi-joins, then an exact check of the pairs.
 
-No bucket is capped: where the keys of a block are shared by very many words, the pairs are cut down by a second key
-(the length) in the same equi-join, and the result is whole.
+Words within a distance share a delete of as many letters, so that the blocks are equi-joins on deletes. No block is
+capped, and the result is whole.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ def near_anchors(queries: DataFrame, words: DataFrame, distance: int = 1) -> Dat
     known = words.select(anchor(key(F.col("word"))).alias("anchor")).where("anchor <> ''").distinct()
     exact = q.join(known, q["query"] == known["anchor"]).select("query", "anchor")
     rest = q.join(known, q["query"] == known["anchor"], "left_anti")
-    # Anchors within a distance d differ in length by d at most and share, at the least, a delete of d letters.
-    left = rest.select("query", F.substring("query", 1, 1).alias("first"), F.explode(F.sequence(F.length("query") - distance, F.length("query") + distance)).alias("length"))
-    right = known.select("anchor", F.substring("anchor", 1, 1).alias("first"), F.length("anchor").alias("length"))
-    close = left.join(right, ["first", "length"]).where(F.levenshtein("query", "anchor", distance) >= 0).select("query", "anchor")
+    first = lambda c: F.substring(c, 1, 1).alias("first")
+    left = rest.select("query", first("query"), F.explode(deletes(F.col("query"), distance)).alias("k"))
+    right = known.select("anchor", first("anchor"), F.explode(deletes(F.col("anchor"), distance)).alias("k"))
+    close = left.join(right, ["first", "k"]).select("query", "anchor").distinct().where(F.levenshtein("query", "anchor", distance) >= 0)
     return exact.unionByName(close)

@@ -31,16 +31,21 @@ def _tokens_of(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.tokens(table(spark, folder, "corpus_lines"))
 
 
+def _counted_from(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens' words alone, computed once where several counts are made from them."""
+    return cut(_tokens_of(spark, folder).select("token", "norm", "p1", "p2"))
+
+
 R.add("agg1_tokens", _tokens_of, f"with {_tokens} select file, line_no, token, norm, p1, p2 from t")
 R.add("agg1_unigrams", lambda s, d: ngrams.unigrams(_tokens_of(s, d)), f"with {_tokens} select w1, cnt, round(ln(cnt), 4) as log_freq from u")
 R.add(
     "agg1_bigrams",
-    lambda s, d: ngrams.bigrams(_tokens_of(s, d)),
+    lambda s, d: ngrams.bigrams(_counted_from(s, d)),
     f"with {_tokens} select p1 as w1, norm as w2, count(*) as cnt, round(ln(count(*)), 4) as log_freq from t where p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2 having count(*) >= 2",
 )
 R.add(
     "agg1_trigrams",
-    lambda s, d: ngrams.trigrams(_tokens_of(s, d)),
+    lambda s, d: ngrams.trigrams(_counted_from(s, d)),
     f"with {_tokens} select p2 as w1, p1 as w2, norm as w3, count(*) as cnt, round(ln(count(*)), 4) as log_freq from t where p2 in (select w1 from u) and p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2, 3 having count(*) >= 2",
 )
 R.add(
@@ -53,20 +58,25 @@ R.add("agg1_stats", lambda s, d: ngrams.stats(table(s, d, "corpus_lines")), f"wi
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    toks = _tokens_of(spark, folder)
-    candidates = toks.select(F.col("norm").alias("word"), F.col("p1").alias("prev"), F.lit(None).cast("string").alias("next"), F.col("p2").alias("prev_prev")).distinct()
-    return ngrams.score(candidates, ngrams.unigrams(toks), ngrams.bigrams(toks), ngrams.trigrams(toks)).select("word", "prev", "prev_prev", "bonus")
+    """Every token after its two neighbours as a candidate; the word that follows is the one most often seen there."""
+    toks = _counted_from(spark, folder)
+    uni, bi, tri = cut(ngrams.unigrams(toks)), cut(ngrams.bigrams(toks)), ngrams.trigrams(toks)
+    following = bi.groupBy(F.col("w1").alias("word")).agg(F.max_by("w2", F.struct("cnt", "w2")).alias("next"))
+    candidates = toks.select(F.col("norm").alias("word"), F.col("p1").alias("prev"), F.col("p2").alias("prev_prev")).distinct().join(following, "word", "left")
+    return ngrams.score(candidates, uni, bi, tri).select("word", "prev", "prev_prev", "next", "bonus")
 
 
 R.add(
     "rnk1_scores",
     _scores,
-    f"""with {_tokens}, bi as (select p1, norm, round(ln(count(*)), 4) as f from t where p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2 having count(*) >= 2),
+    f"""with {_tokens}, bi as (select p1, norm, count(*) as n, round(ln(count(*)), 4) as f from t where p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2 having count(*) >= 2),
     tri as (select p2, p1, norm, round(ln(count(*)), 4) as f from t where p2 in (select w1 from u) and p1 in (select w1 from u) and norm in (select w1 from u) group by 1, 2, 3 having count(*) >= 2),
+    nx as (select p1 as word, arg_max(norm, (n, norm)) as next from bi group by 1),
     x as (select max(round(ln(cnt), 4)) as top from u), c as (select distinct norm, p1, p2 from t),
-    s as (select c.norm as word, c.p1 as prev, c.p2 as prev_prev, greatest(0.0, least(1.0, coalesce(round(ln(u.cnt), 4), 0.0) / top)) as a, greatest(0.0, least(1.0, coalesce(bi.f, 0.0) / top)) as b, greatest(0.0, least(1.0, coalesce(tri.f, 0.0) / top)) as t3
-      from c cross join x left join u on u.w1 = c.norm left join bi on bi.p1 = c.p1 and bi.norm = c.norm left join tri on tri.p2 = c.p2 and tri.p1 = c.p1 and tri.norm = c.norm)
-    select word, prev, prev_prev, round(least(0.25::double, a * 0.1::double + b * (0.25::double * 0.35::double) + t3 * (0.25::double * 0.2::double)), 4) as bonus from s""",
+    s as (select c.norm as word, c.p1 as prev, c.p2 as prev_prev, nx.next, greatest(0.0, least(1.0, coalesce(round(ln(u.cnt), 4), 0.0) / top)) as a, greatest(0.0, least(1.0, coalesce(bi.f, 0.0) / top)) as b,
+      greatest(0.0, least(1.0, coalesce(b2.f, 0.0) / top)) as b2, greatest(0.0, least(1.0, coalesce(tri.f, 0.0) / top)) as t3
+      from c cross join x left join nx on nx.word = c.norm left join u on u.w1 = c.norm left join bi on bi.p1 = c.p1 and bi.norm = c.norm left join bi b2 on b2.p1 = c.norm and b2.norm = nx.next left join tri on tri.p2 = c.p2 and tri.p1 = c.p1 and tri.norm = c.norm)
+    select word, prev, prev_prev, next, round(least(0.25::double, a * 0.1::double + b * (0.25::double * 0.35::double) + b2 * (0.25::double * 0.25::double) + t3 * (0.25::double * 0.2::double)), 4) as bonus from s""",
 )
 R.add("p4_found", lambda s, d: rows.found(table(s, d, "verb_raw"), table(s, d, "corpus_lines"), table(s, d, "corpus_meta")))
 _field = '(?:"(?:[^"]|"")*"|[^",]*)'

@@ -38,8 +38,8 @@ R.add(
 )
 R.add(
     "flt11_requests",
-    lambda s, d: choices.checked_requests(table(s, d, "create_log"), "input", 1500).groupBy("error").agg(F.count("*").alias("n")),
-    "select case when input is null then 'missing' when trim(input) = '' then 'blank' when length(input) > 1500 then 'too_long' end as error, count(*) as n from create_log group by 1",
+    lambda s, d: choices.checked_requests(table(s, d, "create_log"), "input", 1500).select("row_id", "error"),
+    "select row_id, case when input is null then 'missing' when trim(input) = '' then 'blank' when length(input) > 1500 then 'too_long' end as error from create_log",
 )
 
 

@@ -51,7 +51,7 @@ for _c in "bċdfġghħjklmnpqrstvwxżzc":
     _triples = f"regexp_replace({_triples}, '{_c}{_c}{_c}', '{_c}{_c}', 'g')"
 _scalar("str8_triples", T.collapse_triples, _triples)
 _scalar("str9_ascii_key", T.ascii_key, "translate(replace(lower(word), 'għ', 'gh'), 'ġħċż', 'ghcz')")
-_scalar("flt1_may_have_suffix", suffixes.may_have_suffix, "length(regexp_replace(word, 'x$', '')) >= 4 and not ends_with(regexp_replace(word, 'x$', ''), 'gh') and regexp_matches(regexp_replace(word, 'x$', ''), '(" + "|".join(sorted({e for r in suffixes.DIRECT + suffixes.INDIRECT + suffixes.combined() for e in r[4]})) + ")$')")
+R.add("flt1_may_have_suffix", lambda s, d: forms(s, d).select("word", suffixes.may_have_suffix(F.col("word")).alias("out")))
 _scalar("flt4_needs_i", articles.needs_i, "regexp_matches(word, '^[ms][^aeiouàèìòù]')")
 _scalar("ps9_quality", places.quality, "(10 * (length(word) - length(translate(word, 'ħġċżĦĠĊŻ', ''))) - 2 * len(regexp_extract_all(lower(word), 'gh')))::int")
 R.add(
@@ -126,7 +126,7 @@ R.add(
     lambda s, d: L.distinct_records(table(s, d, "verb_forms").where("word is not null and raw_tag is not null"), ["line_number", "row_id"]).select("row_id", "word", "raw_tag"),
     "select row_id, word, raw_tag from verb_forms where word is not null and raw_tag is not null qualify row_number() over (partition by word, raw_tag order by line_number, row_id) = 1",
 )
-R.add("mor3_surfaces", lambda s, d: suffixes.generate(records(s, d).select("word", "raw_tag", "object_blocked")).groupBy("label").agg(F.count("*").alias("surfaces"), F.count_distinct("word").alias("words")))
+R.add("mor3_surfaces", lambda s, d: suffixes.generate(records(s, d)).groupBy("label").agg(F.count("*").alias("surfaces"), F.count_distinct("word").alias("words")))
 R.add("mor8_exact", lambda s, d: suffixes.exact(suffixes.parses(missing(s, d)), records(s, d)))
 R.add("mor9_suggestions", lambda s, d: suffixes.suggestions(suffixes.parses(missing(s, d)), records(s, d)))
 R.add(

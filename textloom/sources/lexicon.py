@@ -95,6 +95,7 @@ def with_features(records: DataFrame) -> DataFrame:
             "short_tag": short_tag(F.col("tag_prefix"), F.coalesce("stem_kind", F.lit("")), F.col("root"), F.col("form_class")),
             "anchor": anchor(key(F.col("word"))),
             "root_class": root_class,
+            "final_weak": weak(third),
             "object_blocked": F.col("form_class").rlike("^(?:F7|F9$|F10)"),
         }
     )
