@@ -25,7 +25,7 @@ RAW_TAG = rf"^(?:[TQS]-\p{{L}}+-F(?:[1-9]|10)|AS-\p{{L}}+){_TENSE_PERSON}\z"
 LINE_NUMBER = r"^[1-9][0-9]{0,8}\z"
 _FIELD = r'(?:"(?:[^"]|"")*+"|[^",]*+)'
 QUOTED_LINE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+\z"
-SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 WEB = r"(?i)https?:|www\."
 
 Rules = list[tuple[str, Column]]
@@ -33,7 +33,7 @@ Rules = list[tuple[str, Column]]
 
 def with_errors(df: DataFrame, rules: Rules) -> DataFrame:
     """``df`` with ``errors``: the names of the rules that a row breaks, in the order given."""
-    return df.withColumn("errors", F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules]), lambda e: e.isNotNull()))
+    return _once(df, "errors", F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for name, broken in rules]), lambda e: e.isNotNull()))
 
 
 def loaded(parsed: DataFrame, typed: dict[str, Column]) -> DataFrame:
@@ -46,12 +46,17 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("errors") > 0).withColumn("reason", F.element_at("errors", 1))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed where it stands: filters on it aren't pushed below, which would compute it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _blank(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "") == ""
+    return F.btrim(c, F.lit(SPACES)) == ""
 
 
 def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def verb_raw(df: DataFrame, line: str = "line") -> DataFrame:
@@ -61,7 +66,7 @@ def verb_raw(df: DataFrame, line: str = "line") -> DataFrame:
         F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(rf"(?s),({_FIELD})"), F.lit(1)),
         lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.greatest(F.char_length(f) - 2, F.lit(0))), F.lit('""'), F.lit('"'))).otherwise(f),
     )
-    out = df.withColumn("_fields", fields).withColumns({n: F.get("_fields", F.lit(i)) for i, n in enumerate(("line_number", "word", "raw_tag", "gloss"))})
+    out = _once(df, "_fields", fields).withColumns({n: F.get("_fields", F.lit(i)) for i, n in enumerate(("line_number", "word", "raw_tag", "gloss"))})
     value = ~F.col("line_number").rlike(LINE_NUMBER) | _blank(F.col("word")) | ~F.col("raw_tag").rlike(RAW_TAG)
     return with_errors(out, [("quoting", ~text.rlike(QUOTED_LINE)), ("columns", F.size("_fields") != 4), ("value", value)]).drop("_fields")
 
@@ -85,7 +90,7 @@ def load_verb_raw(df: DataFrame, line: str = "line") -> tuple[DataFrame, DataFra
 def corpus_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Vertical corpus lines without their marks: surface, tag, lemma and root, with errors."""
     rows = df.where(F.col(line).isNotNull() & ~_blank(F.col(line)) & ~F.col(line).rlike(r"^[#<]"))
-    out = rows.withColumn("_fields", F.transform(F.split(line, r"\|", -1), _stripped)).withColumns({n: F.get("_fields", F.lit(i)) for i, n in enumerate(("surface", "tag", "lemma", "root"))})
+    out = _once(rows, "_fields", F.split(line, r"\|", -1)).withColumns({n: _stripped(F.get("_fields", F.lit(i))) for i, n in enumerate(("surface", "tag", "lemma", "root"))})
     length, surface = F.char_length("surface"), F.col("surface")
     value = (length < 1) | (length > 80) | ~surface.rlike(r"\p{L}") | surface.rlike(rf"\p{{Nd}}|<|{WEB}") | ~F.col("tag").isin(*TAGS) | (F.col("lemma") == "")
     return with_errors(out, [("columns", F.size("_fields") != 4), ("value", value)]).drop("_fields")
