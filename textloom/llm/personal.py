@@ -65,7 +65,11 @@ ADDRESS = {
     "back": re.compile(rf"(?P<t>[^\W\d_]{{3,}}) (?P<s>(?i:{_STREET})),? (?i:nru\.?|numru|no\.?|n\.|n°)? ?{_HOUSE}"),
     "title": re.compile(rf"{_HOUSE},? (?P<s>(?:[A-ZĦĊĠŻ][\w']+ ){{1,3}}?)(?P<t>[A-ZĦĊĠŻ][^\W\d_]+)\b\.?"),
 }
-_house = re.compile(r"(?<![\w/-])\d{1,4}(?!\d)")
+_digits = re.compile(r"\d+")
+#: What any number of the kinds looked for has in it.
+_numeral = re.compile(r"\d[\d .\-]{3,}\d|\d{5}|\d{3,4}[- ]?\(?[A-Z]")
+#: Blanks that ``back`` can have between the word for the street and the number, by its form.
+_MOST_BLANKS = 4
 _flat = re.compile(r"(?<![\w/-])(?:flat|fl\.?|apt\.?|appartament) ?\Z", re.I)
 _name_part = re.compile(r"[^\W\d_]+")
 #: What may stand between the words of a street's name and its number.
@@ -74,22 +78,26 @@ _between = re.compile(r"(?:,? |['’-]|\.|\. |° ?)\Z")
 
 def addresses(text: str) -> Iterator[tuple[str, re.Match]]:
     """Candidates (shape, match) around each number of up to four digits."""
-    parts = None
-    for m in _house.finditer(text):
+    for m in _digits.finditer(text):
         i = m.start()
+        if m.end() - i > 4 or (i and (text[i - 1] in "/-_" or text[i - 1].isalnum())):
+            continue
         flat = _flat.search(text, max(0, i - 13), i)  # its longest word has eleven letters
         at = i - len(flat.group()) if flat else i
         for shape in ("front", "title"):
             if found := ADDRESS[shape].match(text, at if shape == "front" else i):
                 yield shape, found
-        parts = [(p.start(), p.end()) for p in _name_part.finditer(text)] if parts is None else parts
+        low = i
+        for _ in range(_MOST_BLANKS + 1):
+            low = text.rfind(" ", 0, low)
+            if low < 0:
+                break
         end = i
-        for k in range(bisect_right(parts, (i, 0)) - 1, -1, -1):
-            low, high = parts[k]
-            if high > end or not (high == end or _between.match(text[high:end])):
+        for p in reversed(list(_name_part.finditer(text, low + 1, i))):
+            if not (p.end() == end or _between.match(text[p.end() : end])):
                 break
-            end = low
-            if (found := ADDRESS["back"].match(text, low)) and found.end() > i:
+            end = p.start()
+            if (found := ADDRESS["back"].match(text, end)) and found.end() > i:
                 yield "back", found
 
 
@@ -199,7 +207,8 @@ def candidates(text: str, names: dict[str, str]) -> list[tuple]:
         at_end = end >= closed and (not text[end:].strip().startswith((".", "!", "?")) or ".." in text[end:])
         out.append((kind, start, end, key, other, shape, seed, at_end, *around.around(start, end)))
 
-    if "@" in text or _at_word.search(text):
+    low = lowered(text)
+    if "@" in text or ((" at" in low or "(at" in low or "[at" in low or "{at" in low or "chiocciola" in low or "\nat" in low or "\tat" in low) and _at_word.search(text)):
         for m in EMAIL.finditer(text):
             domain = _domain.search(m.group())
             taken.append(m.span())
@@ -212,11 +221,11 @@ def candidates(text: str, names: dict[str, str]) -> list[tuple]:
             if seed:
                 taken.append(m.span())
             add("address", *m.span(), kind, m["s"].strip().lower(), shape, seed)
-        for m in NUMBER.finditer(text):
+        for m in NUMBER.finditer(text) if _numeral.search(text) else ():
             if not any(a < m.end() and m.start() < b for a, b in taken):
                 s = m.group()
                 add("number", *m.span(), "", "", _shape(s), "phone" if _phone_seed.match(s) else "id_number" if _id_seed.match(s) else None)
-    if not names.keys().isdisjoint(_token.findall(lowered(text))):
+    if not names.keys().isdisjoint(_token.findall(low)):
         for start, end, first, second, seed in _pairs(text, names):
             if not any(a < end and start < b for a, b in taken):
                 add("name", start, end, first, second, "", "name" if seed else None)

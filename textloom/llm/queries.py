@@ -146,6 +146,22 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_counts(table(spark, folder, "documents")), table(spark, folder, "pack_sizes"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: documents placed, containers that hold more than it, places taken twice, documents with other sizes than their tokens."""
+    from pyspark.sql import functions as F
+
+    from textloom.llm.packing import pack
+    from textloom.llm.tokens import token_counts
+    from textloom.session import cut
+
+    sizes, limits = cut(token_counts(table(spark, folder, "documents"))), table(spark, folder, "pack_sizes")
+    placed = cut(pack(sizes, limits))
+    fill = placed.groupBy("capacity_name", "container").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("items"), F.count_distinct("position").alias("places")).join(limits, "capacity_name")
+    by_container = fill.groupBy("capacity_name").agg(F.count_if(F.col("fill") > F.col("capacity_tokens")).alias("overfull"), F.sum(F.col("items") - F.col("places")).alias("doubled"))
+    by_document = placed.groupBy("capacity_name", "doc_id").agg(F.sum("n_tokens").alias("placed")).join(sizes, "doc_id").groupBy("capacity_name").agg(F.count("*").alias("documents"), F.count_if(F.col("placed") != F.col("n_tokens")).alias("wrong"))
+    return by_document.join(by_container, "capacity_name").select("capacity_name", "documents", "overfull", "doubled", "wrong")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with a common run of 200 characters."""
     from textloom.llm.spans import shared_pairs
@@ -160,6 +176,6 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
     return shared_cover(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p2_evidence, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p9_found, p9_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p2_evidence, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p8_checks, p9_found, p9_cover)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"p8_checks": "select capacity_name, (select count(*) from documents) as documents, 0 as overfull, 0 as doubled, 0 as wrong from pack_sizes"}

@@ -121,11 +121,11 @@ def pieces(docs: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHA
     return ends.groupBy("doc", "piece").agg(F.concat_ws("", F.transform(joined, lambda x: x["own"])).alias("part"))
 
 
-def _encode(path: str, counts: bool):
-    """Batches of (..., text) -> the same columns with ids or their number in place of the text."""
+def _encode(path: str | None, counts: bool):
+    """Batches of (..., text) -> the same columns with ids or their number in place of the text; a worker looks up the vocabulary itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path or default_vocabulary()).encode_ordinary
         for batch in batches:
             texts = strings(batch.column(batch.num_columns - 1))
             if counts:
@@ -138,7 +138,6 @@ def _encode(path: str, counts: bool):
 
 
 def _run(docs: DataFrame, id_column: str, text_column: str, path: str | None, counts: bool, chunk: int, overlap: int) -> DataFrame:
-    path = path or default_vocabulary()
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     kind, out = rows.schema["doc"].dataType.simpleString(), "bigint" if counts else "array<int>"
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
