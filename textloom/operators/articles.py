@@ -11,8 +11,10 @@ from textloom.operators.grammar import first_of_overlapping
 #: Letters that the article takes on, and the prepositions with their form before such a letter and a vowel.
 SUN = "ċdnrstxżz"
 ARTICLE_FORMS = ("il", "l", "ic", "iċ", "id", "in", "ir", "is", "it", "ix", "iz", "iż")
-PREPOSITIONS = {"tal": ("ta", "tal"), "mal": ("ma", "mal"), "bħall": ("bħa", "bħall"), "bil": ("bi", "bl"), "fil": ("fi", "fl"), "mill": ("mi", "mill"), "għall": ("għa", "għall"), "sal": ("sa", "sal"), "lill": ("li", "lill")}
+PREPOSITIONS = {"tal": ("ta", "tal"), "mal": ("ma", "mal"), "bħall": ("bħa", "bħall"), "bil": ("bi", "bl"), "fil": ("fi", "fl"), "mill": ("mi", "mill"), "għall": ("għa", "għall"), "sal": ("sa", "sal"), "lill": ("li", "lill"), "ġol": ("ġo", "ġol"), "għat": ("għa", "għat"), "dal": ("da", "dal"), "dil": ("di", "dil")}
 APART = {"ta": "tal", "ta'": "tal", "ma": "mal", "ma'": "mal", "bħal": "bħall", "bhal": "bħall", "bi": "bil", "fi": "fil", "lil": "lill", "għal": "għall", "ghal": "għall", "sa": "sal", "minn": "mill", "min": "mill"}
+#: Families whose assimilated forms are words of their own (dan, dar, din), so that only the full form is taken for them.
+WORDS_ALIKE = ("dal", "dil")
 FUSED = ("x", "b", "f", "t", "m", "l")
 _VOWEL = f"[{VOWELS}]"
 
@@ -55,7 +57,8 @@ def canonical_preposition(prefix: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, (stem, soft) in reversed(PREPOSITIONS.items()):
         s, full = stem.replace("għ", "gh").replace("ħ", "h"), name.replace("għ", "gh").replace("ħ", "h")
-        out = F.when(bare.isin(full, soft) | bare.rlike(rf"^{s}([cdnrstxz])\1?$") | (bare == full.rstrip("l") + "l"), name).otherwise(out)
+        assimilated = bare.rlike(rf"^{s}([cdnrstxz])\1?$") & F.lit(name not in WORDS_ALIKE)
+        out = F.when(bare.isin(full, soft) | assimilated | (bare == full.rstrip("l") + "l"), name).otherwise(out)
     return out
 
 

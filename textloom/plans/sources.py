@@ -331,4 +331,61 @@ R.add(
     f"""with {_lexicon} select doc_id, pos as start, pos + 2 as "end", word || ' ' || n_word as surface, case when ends_with(norm, 't') or norm = 'għoxrin' then 'singular' else 'plural_or_paucal' end as suggestion from z2
     where norm in ('wieħed','waħda','żewġ','tnejn','tlieta','erbgħa','ħamsa','ħams','sitta','sitt','sebgħa','seba','tmienja','tmien','disgħa','disgħ','għaxra','għoxrin') and n_norm in (select w from nouns)""",
 )
+_records = f"""r as (select {_nfc.format('word')} as word, raw_tag, tense, person, line_number, concat_ws('-', tag_prefix, case when coalesce(stem_kind, '') <> '' then stem_kind end, coalesce(root, ''), form_class) as short_tag
+      from verb_forms where word is not null and raw_tag is not null qualify row_number() over (partition by word, raw_tag order by line_number, row_id) = 1)"""
+_paradigm = f"""{_records}, fin as (select * from r where tense <> 'IMP' and word <> ''), wt as (select distinct fin.word, t.target from fin, unnest({list(W.PERSONS)}) as t(target) where fin.person <> t.target),
+    own as (select distinct wt.word, wt.target, fin.short_tag, fin.tense from wt join fin on wt.word = fin.word),
+    pv as (select own.word, own.target as person, fin.word as variant, (fin.tense <> own.tense)::int as other, fin.line_number from own join fin on own.short_tag = fin.short_tag and fin.person = own.target and fin.word <> own.word),
+    variants as (select word, person, variant from pv qualify row_number() over (partition by word, person order by other, line_number, variant) = 1),
+    fw as (select word, list(distinct person) filter (person <> '') as persons, bool_or(tense = 'PERF' and person <> '') as perf, bool_or(tense = 'MPERF' and person <> '') as mperf from fin group by 1)"""
+R.add(
+    "win2_verb_chain",
+    lambda s, d: grammar.verb_chain(C._neighbours(s, d), W.paradigm(C._records(s, d))).select(*C._short),
+    f"""with {_paradigm}, {C._positions} select doc_id, pos as start, pos + 2 as "end", x.word || ' ' || n_word as surface, x.word || ' ' || v.variant as suggestion
+    from x join fw a on a.word = x.norm join fw b on b.word = x.n_norm join variants v on v.word = x.n_norm and v.person = a.persons[1]
+    where a.perf and b.mperf and len(a.persons) = 1 and not list_contains(b.persons, a.persons[1])""",
+)
+R.oracle["api6_health"] = f"""with {_records}, {C._tokens} select (select count(*) from {W._forms}) as words, (select count(*) from r) as verb_forms, (select count(distinct short_tag) from r) as paradigms, (select count(*) from u) as unigrams"""
+R.oracle["p4_builds"] = f"""with {C._meta} select o.row_id, c.file, c.built_at, json_extract_string(meta_json, '$.corpus_revision') as corpus_revision, try_cast(json_extract_string(meta_json, '$.stats.total_tokens') as bigint) as total_tokens,
+    try_cast(json_extract_string(meta_json, '$.stats.malformed_rows') as bigint) as malformed_rows from o join corpus_meta c using (row_id) where reason is null"""
+_one, _two, _three = (orthography.variant_sql("shortcut", t) for t in ("m0", "m1", "m2"))
+R.add(
+    "gen1_words",
+    lambda s, d: W.missing(s, d).select("word", F.explode(orthography.combinations(F.col("word"))).alias("variant")),
+    f"""with m0 as (select word from {W._missing}), one as ({_one}), m1 as (select distinct variant as word from one), two as ({_two}), l2 as (select distinct one.word as own, two.variant as v from one join two on two.word = one.variant where two.variant <> one.word),
+    m2 as (select distinct v as word from l2), three as ({_three}), l3 as (select distinct own, three.variant as v from l2 join three on three.word = l2.v where three.variant <> own)
+    select word, variant from one union select own, v from l2 union select own, v from l3""",
+)
+
+# Evidence
+
+_pooled = f"""{C._tokens}, o as (select * from update_choice qualify row_number() over (partition by log_id, event_id order by received_at, row_id) = 1),
+    e as (select chosen, unnest(suggestions) as word, unnest(range(len(suggestions))) as ord from o where token is not null and suggestions is not null),
+    ev as (select {_nfc.format('word')} as w, case when word = chosen then 'choice' else 'suggestion' end as source, case when word = chosen then 1.0::double when ord = 0 then 0.82::double else 0.38::double end as weight, ord from e),
+    pl as (select w, list(distinct source) as sources, max(weight) as confidence, min(ord) as first from ev where w <> '' group by 1),
+    sc as (select pl.w as word, sources, confidence, first, coalesce(round(round(ln(u.cnt), 4) / 100, 4), 0.0) as bonus from pl left join u on u.w1 = pl.w)"""
+_total = "case when bonus > 0 then least(1.0::double, round(confidence + bonus, 4)) else confidence end"
+R.oracle["agg3_corpus_evidence"] = f"with {_pooled} select word, array_to_string(list_sort(case when bonus > 0 then list_append(sources, 'corpus') else sources end), ',') as sources, {_total} as confidence, bonus as corpus_score from sc"
+R.oracle["agg4_diagnostics"] = f"""with {_pooled} select word, list_sort(case when bonus > 0 then list_append(sources, 'corpus') else sources end) as sources, ['word'] as types, case when bonus > 0 then ['corpus frequency bonus'] else [] end as reasons,
+    round({_total}, 3) as confidence, round(bonus, 4) as corpus_score from sc order by first, word limit 12"""
+R.oracle["agg5_unrecognized"] = rf"""with {C._tokens}, dd as (select unnest(regexp_extract_all(coalesce(input, ''), '[\p{{L}}\p{{M}}''’]+')) as word from create_log), ww as (select {_nfc.format('word')} as word from dd)
+    select word, count(*) as frequency from ww where word <> '' and word not in (select w1 from u) group by 1 order by 2 desc, 1 limit 50""".replace("\\p", "\p")
+
+
+def _counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Choices as counters: whether the first suggestion was taken, with the number of suggestions as the time."""
+    from textloom.operators import evidence
+
+    rows = table(spark, folder, "update_choice").where("suggestions is not null")
+    hit = F.coalesce(F.get("suggestions", F.lit(0)) == F.col("chosen"), F.lit(False))
+    events = rows.select(F.substring("token", 1, 1).alias("stage"), F.when(hit, "first_hit").otherwise("first_miss").alias("name"), F.lit(1).cast("bigint").alias("amount"), F.size("suggestions").cast("double").alias("elapsed_ms"))
+    return evidence.counters(events, 3.0)
+
+
+R.add(
+    "agg6_counters",
+    _counters,
+    """with k as (select token[1] as stage, coalesce(suggestions[1] = chosen, false) as hit, len(suggestions) as n from update_choice where suggestions is not null)
+    select stage, sum(hit::int)::bigint as hits, sum((not hit)::int)::bigint as misses, sum((n >= 3)::int)::bigint as slow, max(n)::double as slowest_ms from k group by 1""",
+)
 QUERIES, ORACLE = R.queries, R.oracle
