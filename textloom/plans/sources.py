@@ -369,7 +369,7 @@ R.oracle["agg3_corpus_evidence"] = f"with {_pooled} select word, array_to_string
 R.oracle["agg4_diagnostics"] = f"""with {_pooled} select word, list_sort(case when bonus > 0 then list_append(sources, 'corpus') else sources end) as sources, ['word'] as types, case when bonus > 0 then ['corpus frequency bonus'] else [] end as reasons,
     round({_total}, 3) as confidence, round(bonus, 4) as corpus_score from sc order by first, word limit 12"""
 R.oracle["agg5_unrecognized"] = rf"""with {C._tokens}, dd as (select unnest(regexp_extract_all(coalesce(input, ''), '[\p{{L}}\p{{M}}''’]+')) as word from create_log), ww as (select {_nfc.format('word')} as word from dd)
-    select word, count(*) as frequency from ww where word <> '' and word not in (select w1 from u) group by 1 order by 2 desc, 1 limit 50""".replace("\\p", "\p")
+    select word, count(*) as frequency from ww where word <> '' and word not in (select w1 from u) group by 1 order by 2 desc, 1 limit 50"""
 
 
 def _counters(spark: SparkSession, folder: str) -> DataFrame:
