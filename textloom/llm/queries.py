@@ -178,4 +178,4 @@ def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_redacted, p2_evidence, p3_found, p3_rates, p5_found, p5_languages, p6_found, p6_forms, p7_ids, p8_pack, p8_checks, p9_found, p9_cover)}
 
-ORACLE: dict[str, str] = {"p8_checks": "select capacity_name, (select count(*) from documents) as documents, 0 as overfull, 0 as doubled, 0 as wrong from pack_sizes"}
+ORACLE: dict[str, str] = {"p8_checks": "select capacity_name, (select count(*) from documents) as documents, 0::bigint as overfull, 0::bigint as doubled, 0::bigint as wrong from pack_sizes"}
